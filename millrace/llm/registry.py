@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.llm import exact_dedup, mixing, secrets
+from millrace.llm import exact_dedup, mixing, quality, secrets, simhash
 
-MODULES = (secrets, exact_dedup, mixing)
+MODULES = (secrets, exact_dedup, mixing, simhash, quality)
 
 
 def queries() -> dict:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.llm import exact_dedup, mixing, quality, secrets, simhash
+from millrace.llm import exact_dedup, mixing, quality, secrets, simhash, urls, warc
 
-MODULES = (secrets, exact_dedup, mixing, simhash, quality)
+MODULES = (secrets, exact_dedup, mixing, simhash, urls, warc, quality)
 
 
 def queries() -> dict:

@@ -317,7 +317,7 @@ class WarcWriter(DataSourceArrowWriter):
         system.create_dir(root, recursive=True)
         name = f"part-{uuid.uuid4().hex}.warc.gz"
         at, starts, n = 0, [], 0
-        with system.open_output_stream(f"{root}/{name}") as out:
+        with system.open_output_stream(f"{root}/{name}", compression=None) as out:
             for batch in iterator:
                 columns = batch.to_pydict()
                 for k in range(batch.num_rows):

@@ -128,6 +128,11 @@ def mix(docs: DataFrame, shares: dict[str, int] = TARGET, block_docs: int = BLOC
     )
 
 
+def mixed(docs: DataFrame, shares: dict[str, int] = TARGET, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """All rows of docs, laid out in the order of the mix: partitions in order, and rows in order within them."""
+    return mix(docs, shares, block_docs).repartitionByRange("position").sortWithinPartitions("position").select(*docs.columns)
+
+
 def op4_source_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "n_chars")
     return mix(docs).drop("n_chars")

@@ -83,18 +83,18 @@ def count(text: str | None) -> tuple[int, ...]:
     )
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """doc_id and COUNTS of every row."""
+def counts(docs: DataFrame, keep: str = "doc_id") -> DataFrame:
+    """Column `keep` and COUNTS of every row."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             found = np.array([count(x) for x in batch.column("text").to_pylist()], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[pa.array(found[:, k]) for k in range(len(COUNTS))]], ["doc_id", *COUNTS]
+                [batch.column(keep), *[pa.array(found[:, k]) for k in range(len(COUNTS))]], [keep, *COUNTS]
             )
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+    kind = dict(docs.dtypes)[keep]
+    return docs.select(keep, "text").mapInArrow(batches, f"{keep} {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 @dataclass(frozen=True)
@@ -178,27 +178,42 @@ def fit(votes: np.ndarray, n: np.ndarray, rounds: int = 200, tolerance: float =
     return model
 
 
-def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least: float = 0.5) -> DataFrame:
-    """Per row: doc_id, COUNTS, base_failed, votes (one digit per rule), p_good, kept."""
-    spark = docs.sparkSession
-    counted = _store.materialise(
-        counts(docs).withColumn("votes", F.concat(*[r.vote.cast("string") for r in rules])), "quality"
-    )
-    cast = counted.groupBy("votes").count().collect()  # at most 3 ** len(rules) rows
-    base = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
-    if not cast:
-        return counted.select("*", base.alias("base_failed"), F.lit(0.0).alias("p_good"), F.lit(False).alias("kept"))
-    cast.sort(key=lambda r: r["votes"])
-    votes = np.array([[int(v) for v in r["votes"]] for r in cast])
-    good = fit(votes, np.array([r["count"] for r in cast], float)).posterior(votes)
-    known = spark.createDataFrame([(r["votes"], float(p)) for r, p in zip(cast, good)], "votes string, p_good double")
+def _voted(counted: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    return counted.withColumn("votes", F.concat(*[r.vote.cast("string") for r in rules]))
+
+
+def _posteriors(voted: DataFrame) -> DataFrame:
+    """votes and p_good: at most 3 ** rules rows, from the votes of all documents."""
+    cast = sorted(voted.groupBy("votes").count().collect(), key=lambda r: r["votes"])
+    rows = []
+    if cast:
+        votes = np.array([[int(v) for v in r["votes"]] for r in cast])
+        good = fit(votes, np.array([r["count"] for r in cast], float)).posterior(votes)
+        rows = [(r["votes"], float(p)) for r, p in zip(cast, good)]
+    return voted.sparkSession.createDataFrame(rows, "votes string, p_good double")
+
+
+def _verdicts(voted: DataFrame, known: DataFrame, least: float) -> DataFrame:
     return (
-        counted.join(F.broadcast(known), "votes")
-        .withColumn("base_failed", base)
+        voted.join(F.broadcast(known), "votes")
+        .withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
         .withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= least))
     )
 
 
+def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least: float = 0.5) -> DataFrame:
+    """Per row: doc_id, COUNTS, base_failed, votes (one digit per rule), p_good, kept."""
+    voted = _store.materialise(_voted(counts(docs), rules), "quality")
+    return _verdicts(voted, _posteriors(voted), least)
+
+
+def filtered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least: float = 0.5) -> DataFrame:
+    """The rows of docs that are kept, with all their columns. Counts twice rather than shuffle texts."""
+    known = _posteriors(_voted(counts(docs), rules))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+    return _verdicts(_voted(counts(rows, "_row"), rules), known, least).filter("kept").select("_row.*")
+
+
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return judge(docs).select("doc_id", *COUNTS[:5], "base_failed", "kept", "p_good", "votes")

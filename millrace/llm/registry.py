@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from millrace.llm import exact_dedup, mixing, quality, secrets, simhash, urls, warc
+from millrace.llm import (
+    chat,
+    exact_dedup,
+    mixing,
+    pieces,
+    quality,
+    secrets,
+    simhash,
+    toxicity,
+    urls,
+    warc,
+)
 
-MODULES = (secrets, exact_dedup, mixing, simhash, urls, warc, quality)
+MODULES = (secrets, toxicity, exact_dedup, mixing, simhash, pieces, urls, warc, chat, quality)
 
 
 def queries() -> dict:

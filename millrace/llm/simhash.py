@@ -149,6 +149,19 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) ->
     return marked.join(rooted.join(named, "root").select("fp", "component_id"), "fp")
 
 
+def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """docs with one document of each component, the one its id names, with all columns.
+
+    Documents without a doc_id cannot be told apart: a component of such alone stays whole.
+    """
+    stay = near_duplicates(docs, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return docs.join(
+        stay.select(F.col("doc_id").alias("_id")).distinct().hint("shuffle_hash"),
+        F.col("doc_id").eqNullSafe(F.col("_id")),
+        "left_semi",
+    )
+
+
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select(

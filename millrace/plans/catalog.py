@@ -21,6 +21,8 @@ _TERMS = tuple("ble ly ther tion ou sh thon thth than wh thre thnt thes thhe thh
 CONFIG = EngineConfig(policy=replace(Policy(), topic=_TERMS, core=("ble", "tion", "sh"), probes=("tion", "thth", "ther")))
 #: For pages: mobile hosts and language paths of the driver's URLs are not turned away.
 OPEN = replace(CONFIG, policy=replace(CONFIG.policy, traps=(r"[?&]utm_", r"[?&]ref="), topic=(*_TERMS, "therin", "tionsh", "to", "and")))
+#: For the link graph, where any host is on topic.
+WIDE = replace(OPEN, policy=replace(OPEN.policy, topic=(*OPEN.policy.topic, "example")))
 GOAL_BYTES = 1_000_000
 
 
@@ -190,21 +192,21 @@ def bfs_levels(spark, sf) -> DataFrame:
     links = edges.join(pages.select(F.col("page_id").alias("dst"), "url"), "dst").select(
         "src", "seq", "n", "url", F.lit("").alias("anchor"), F.lit(1).alias("rica")
     )
-    seeds = pages.filter("page_id IN (2, 7)").select("url", urls.domain(F.col("url")).alias("dominio"))
-    return frontier.expand(seeds, pages, links, OPEN).select(
+    seeds = pages.filter("page_id IN (4, 10)").select("url", urls.domain(F.col("url")).alias("dominio"))
+    return frontier.expand(seeds, pages, links, WIDE).select(
         "url", "profundidad", "es_semilla", F.coalesce("motivo", F.lit("leida")).alias("motivo")
     )
 
 
 _BFS = f"""
 WITH RECURSIVE m AS (SELECT max(page_id) + 1 AS n FROM pages),
-seeds AS (SELECT url, {o.domain('url')} AS dominio FROM pages WHERE page_id IN (2, 7)),
+seeds AS (SELECT url, {o.domain('url')} AS dominio FROM pages WHERE page_id IN (4, 10)),
 e AS (SELECT p.url AS src, d.url AS url, {o.domain('d.url')} AS dom FROM pages p, m, pages d WHERE d.page_id IN ((p.page_id * 3 + 1) % n, (p.page_id * 5 + 2) % n)),
-ok AS (SELECT * FROM e WHERE NOT {o.trap('url', OPEN)} AND NOT ({o.vetoed('dom', OPEN)}) AND NOT ({o.other_language('dom', OPEN)})
-    AND (dom IN (SELECT dominio FROM seeds) OR {o.promising('url', o.q(''), OPEN)})),
-f AS (SELECT url, {o.frontier_reason('url', o.domain('url'), f"({o.domain('url')} IN (SELECT dominio FROM seeds))", OPEN)} AS motivo FROM pages),
+ok AS (SELECT * FROM e WHERE NOT {o.trap('url', WIDE)} AND NOT ({o.vetoed('dom', WIDE)}) AND NOT ({o.other_language('dom', WIDE)})
+    AND (dom IN (SELECT dominio FROM seeds) OR {o.promising('url', o.q(''), WIDE)})),
+f AS (SELECT url, {o.frontier_reason('url', o.domain('url'), f"({o.domain('url')} IN (SELECT dominio FROM seeds))", WIDE)} AS motivo FROM pages),
 r(url, depth) AS (SELECT url, 0 FROM seeds UNION
-    SELECT ok.url, r.depth + 1 FROM r JOIN f ON f.url = r.url AND f.motivo IS NULL JOIN ok ON ok.src = r.url WHERE r.depth < {OPEN.depth_limit})
+    SELECT ok.url, r.depth + 1 FROM r JOIN f ON f.url = r.url AND f.motivo IS NULL JOIN ok ON ok.src = r.url WHERE r.depth < {WIDE.depth_limit})
 SELECT url, min(depth) AS profundidad, CAST(min(depth) = 0 AS INT) AS es_semilla, coalesce(any_value(motivo), 'leida') AS motivo
 FROM r JOIN f USING (url) GROUP BY url
 """

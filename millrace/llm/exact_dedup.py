@@ -101,16 +101,20 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with one row of each class, the one that classes() keeps, with all its columns."""
     found = classes(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"))
     stay = _store.materialise(found, "kept")
-    marked = docs.withColumn("_of", F.unhex(F.sha2(normalised(F.col("text")), 256)))
+    marked = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.col("doc_id").alias("_doc"),
+        F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("_of"),
+    )
     # Dealt by document, so hot classes are spread; the hash join holds the narrow side.
     rows = marked.join(
         stay.distinct().hint("shuffle_hash"),
-        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_sha")),
+        F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_sha")),
         "left_semi",
     )
     if stay.count() > stay.select("_sha").distinct().count():  # rows that repeat doc_id and text
         rows = rows.dropDuplicates(["_of"])
-    return rows.drop("_of")
+    return rows.select("_row.*")
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

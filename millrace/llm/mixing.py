@@ -19,7 +19,8 @@ or repeated, and `on_target` tells the two parts apart.
 Defined results: null and unlisted sources are in the lane of the rest; a null
 doc_id is hashed as the empty string; rows with equal doc_id are ordered by
 n_chars, and equal rows are interchangeable; an empty table gives no rows;
-further columns pass through, and clashing names raise an error at once.
+further columns pass through, but for mix() those of the names that it adds,
+which it replaces; mixed() keeps them all.
 """
 
 from __future__ import annotations
@@ -64,20 +65,19 @@ def schedule(shares: dict[str, int]) -> list[tuple[str, int]]:
     return out
 
 
-def mix(docs: DataFrame, shares: dict[str, int] = TARGET, block_docs: int = BLOCK_DOCS, bucket_rows: int = 20_000) -> DataFrame:
-    """docs with the columns of ADDED; `position` is the place in the mix, from 0.
+def placed(docs: DataFrame, shares: dict[str, int] = TARGET, block_docs: int = BLOCK_DOCS, bucket_rows: int = 20_000) -> DataFrame:
+    """Column _row, a struct of each row of docs, and ADDED; `position` is the place in the mix, from 0.
 
     `shares` must hold whole numbers over 0; its sum, the period, and its lanes
     bound what the driver plans. doc_id, source and n_chars are read.
     """
     spark = docs.sparkSession
-    if clash := {c.lower() for c in docs.columns} & {*ADDED, "_digest", "_share"}:
-        raise ValueError(f"the input has columns that mixing adds: {sorted(clash)}")
     if REST not in shares:
         shares = shares | {REST: 1}
     period, plan, lanes = sum(shares.values()), schedule(shares), sorted(shares)
     named = [x for x in lanes if x != REST]
-    laned = docs.withColumn(
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "source", "n_chars")
+    laned = rows.withColumn(
         "lane", F.when(F.col("source").isin(named), F.col("source")).otherwise(F.lit(REST))
     ).withColumn("_digest", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sizes = {lane: 0 for lane in lanes} | {r["lane"]: r["n"] for r in laned.groupBy("lane").agg(F.count("*").alias("n")).collect()}
@@ -89,17 +89,17 @@ def mix(docs: DataFrame, shares: dict[str, int] = TARGET, block_docs: int = BLOC
         [F.col("_digest"), F.col("doc_id").asc_nulls_last(), F.col("n_chars").asc_nulls_last()],
         "lane_rank",
     )
-    place, rows, done = {}, [], dict.fromkeys(lanes, 0)
+    place, steps, done = {}, [], dict.fromkeys(lanes, 0)
     for slot, (lane, block) in enumerate(plan):
         place[lane, block] = slot
-        rows.append({"lane": lane, "_j": block, "_at": slot, "_before": [done[x] for x in lanes]})
+        steps.append({"lane": lane, "_j": block, "_at": slot, "_before": [done[x] for x in lanes]})
         done[lane] += 1
     # The first slot whose block does not exist or is not full: until there, all are on target.
     full = {x: sizes[x] // block_docs for x in lanes}
     horizon = min(full[x] // shares[x] * period + place[x, full[x] % shares[x]] for x in lanes)
     order = spark.range(1).select(
         F.inline(
-            F.from_json(F.lit(json.dumps(rows)), "array<struct<lane:string,_j:bigint,_at:bigint,_before:array<bigint>>>")
+            F.from_json(F.lit(json.dumps(steps)), "array<struct<lane:string,_j:bigint,_at:bigint,_before:array<bigint>>>")
         )
     )
     share = F.element_at(F.create_map(*[F.lit(x) for lane in lanes for x in (lane, shares[lane])]), F.col("lane"))
@@ -124,13 +124,19 @@ def mix(docs: DataFrame, shares: dict[str, int] = TARGET, block_docs: int = BLOC
         .withColumn("slot", F.col("_round") * period + F.col("_at"))
         .withColumn("position", earlier + block % block_docs)
         .withColumn("on_target", F.col("slot") < horizon)
-        .select(*docs.columns, *ADDED)
+        .select("_row", *ADDED)
     )
 
 
+def mix(docs: DataFrame, shares: dict[str, int] = TARGET, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """The columns of docs, and those of ADDED."""
+    own = [F.col(f"_row.`{c}`") for c in docs.columns if c.lower() not in ADDED]
+    return placed(docs, shares, block_docs).select(*own, *ADDED)
+
+
 def mixed(docs: DataFrame, shares: dict[str, int] = TARGET, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """All rows of docs, laid out in the order of the mix: partitions in order, and rows in order within them."""
-    return mix(docs, shares, block_docs).repartitionByRange("position").sortWithinPartitions("position").select(*docs.columns)
+    return placed(docs, shares, block_docs).repartitionByRange("position").sortWithinPartitions("position").select("_row.*")
 
 
 def op4_source_mixing(spark, sf_dir: str) -> DataFrame:

@@ -155,11 +155,12 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Documents without a doc_id cannot be told apart: a component of such alone stays whole.
     """
     stay = near_duplicates(docs, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return docs.join(
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"))
+    return rows.join(
         stay.select(F.col("doc_id").alias("_id")).distinct().hint("shuffle_hash"),
-        F.col("doc_id").eqNullSafe(F.col("_id")),
+        F.col("_doc").eqNullSafe(F.col("_id")),
         "left_semi",
-    )
+    ).select("_row.*")
 
 
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

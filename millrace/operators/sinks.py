@@ -45,6 +45,7 @@ def insert_documents(spark: SparkSession, saved: DataFrame) -> int:
         metadata.numbered(metadata.inserted(saved, stored).drop("texto"), last).select(*_COLUMNS), "insert"
     )
     rows.write.mode("append").insertInto("documentos")
+    spark.catalog.refreshTable("documentos")  # the rows may be of another session, as in a stream's batches
     return rows.count()
 
 
@@ -55,6 +56,7 @@ def insert_errors(spark: SparkSession, failures: DataFrame) -> None:
     metadata.real_failures(failures).select(
         (F.monotonically_increasing_id() + start + 1).alias("id"), "url", "dominio", "motivo", "fecha"
     ).write.mode("append").insertInto("errores")
+    spark.catalog.refreshTable("errores")
 
 
 def write_frequencies(frequencies: DataFrame, folder: str) -> None:

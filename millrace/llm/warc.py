@@ -287,6 +287,8 @@ class WarcReader(DataSourceReader):
         return True
 
     def read(self, partition: _Piece):
+        if partition is None:  # a folder without archives
+            return
         system, _ = _system(self.path)
         names = self.schema.fieldNames()
         kinds = {n: pa.int64() if n in _LONGS else pa.binary() if n == "payload" else pa.string() for n in names}

@@ -148,4 +148,24 @@ def op9_chat_format(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_chat_format": op9_chat_format}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op9_chat_format": rf"""
+WITH m AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), text) - 1 AS position FROM conversations),
+l AS (SELECT conv_id, position, unnest(a) AS line, unnest(range(len(a))) AS n FROM (SELECT *, regexp_split_to_array(text, '\r?\n') AS a FROM m)),
+x AS (SELECT *, CAST(length(regexp_replace(regexp_extract(line, '{MARKS}'), '[^>]', '', 'g')) AS INT) AS level,
+    lower(trim(regexp_replace(regexp_replace(line, '{MARKS}', ''), '\s+', ' ', 'g'))) AS said FROM l),
+q AS (SELECT conv_id, position, level, (SELECT max(o.position) FROM x o WHERE o.conv_id IS NOT DISTINCT FROM x.conv_id AND o.level = 0
+    AND o.said = x.said AND o.position < x.position) AS original FROM x WHERE level > 0 AND said <> ''),
+f AS (SELECT conv_id, position, count(*) AS n_linked, min(level) AS level, max(original) FILTER (level = least) AS parent
+    FROM (SELECT *, min(level) OVER (PARTITION BY conv_id, position) AS least FROM q WHERE original IS NOT NULL) GROUP BY ALL),
+y AS (SELECT *, level > 0 AS quoted, coalesce(lead(level > 0) OVER (PARTITION BY conv_id, position ORDER BY n), false) AS before_quote FROM x),
+o AS (SELECT conv_id, position, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT quoted AND NOT (before_quote AND regexp_matches(line, '{ANNOUNCES}'))), '') AS plain
+    FROM y GROUP BY ALL),
+t AS (SELECT m.*, CASE WHEN contains(text, '>') THEN regexp_replace(regexp_replace(plain, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') ELSE text END AS own
+    FROM m JOIN o ON m.conv_id IS NOT DISTINCT FROM o.conv_id AND m.position = o.position)
+SELECT t.conv_id, t.turn, t.role, t.position, coalesce(f.parent, CASE WHEN t.position > 0 THEN t.position - 1 END) AS parent, f.level,
+    coalesce(n_linked, 0) AS n_linked, own AS text, '<|' || role || '|>' || chr(10) || own || chr(10) || '<|end|>' || chr(10) AS formatted
+FROM t LEFT JOIN f ON t.conv_id IS NOT DISTINCT FROM f.conv_id AND t.position = f.position
+"""
+}

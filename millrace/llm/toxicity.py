@@ -34,7 +34,6 @@ names cannot clash. Texts are always read whole, of any length.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -52,13 +51,13 @@ LONGEST = 40
 PIVOT = 10.0
 BLOCK = 32
 NEAREST = 31
-_EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+#: What a word may carry at either end of its token.
+EDGES = "0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’…–—¡¿·"
 
 
-@lru_cache(1 << 17)
 def terms(token: str) -> tuple[str, ...]:
     """Terms of one token: the word, and beginnings of it marked by ^. Tokens over LONGEST letters are no words."""
-    word = _EDGE.sub("", token)
+    word = token.strip(EDGES)
     if not word or len(word) > LONGEST:
         return ()
     return (word, *(f"^{word[:k]}" for k in PREFIXES if len(word) > k))
@@ -125,18 +124,17 @@ def vectors(docs: DataFrame, words: list[str]) -> DataFrame:
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {w: i for i, w in enumerate(words)}
-
-        @lru_cache(1 << 17)
-        def ids(token: str) -> tuple[int, ...]:
-            return tuple(place[t] for t in terms(token) if t in place)
-
+        # A word with a term in the vocabulary begins as one of them does.
+        heads = {w.removeprefix("^")[: PREFIXES[0]] for w in words}
         for batch in source:
             found: list[dict[int, int]] = []
             for text in batch.column("text").to_pylist():
                 tf: dict[int, int] = {}
                 for token, n in Counter((text or "").lower().split()).items():
-                    for i in ids(token):
-                        tf[i] = tf.get(i, 0) + n
+                    if token.strip(EDGES)[: PREFIXES[0]] in heads:
+                        for t in terms(token):
+                            if (i := place.get(t)) is not None:
+                                tf[i] = tf.get(i, 0) + n
                 found.append(tf)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -203,37 +201,56 @@ class BlockMax:
             np.array(tops, float), np.array(begins, np.int64),
         )
 
+    @staticmethod
+    def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """All places of the ranges that begin at starts, one range after the other."""
+        return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+
+    def _exact(self, chosen: np.ndarray, segs: np.ndarray, weights: np.ndarray, pivot: float) -> tuple[np.ndarray, np.ndarray]:
+        """Places and similarities of the examples in the chosen blocks (a mask), from their segments of postings."""
+        mine = chosen[self.blocks[segs]]
+        segs, weights = segs[mine], weights[mine]
+        lengths = self.begins[segs + 1] - self.begins[segs]
+        at = self._ranges(self.begins[segs], lengths)
+        found = pivot * self.pivots + np.bincount(
+            self.posted[at], self.weights[at] * np.repeat(weights, lengths), minlength=len(self.labels)
+        )
+        places = np.nonzero(np.repeat(chosen, BLOCK)[: len(self.labels)])[0]
+        return places, found[places]
+
     def nearest(self, ids, tfs, k: int = NEAREST, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and similarities of the k most similar examples, nearest first; `but` is left out."""
+        """Places and similarities of the k most similar examples, nearest first; `but` is left out.
+
+        The blocks of the greatest bounds are taken first, as many as hold k
+        examples and a few more; then all others whose bound reaches the k-th
+        similarity found there. No other block can hold one of the k.
+        """
         n = len(self.labels)
         k = min(k, n - (but is not None))
         if k <= 0:
             return np.zeros(0, np.int64), np.zeros(0)
         ids, weights, pivot = self.vector(self.idf, ids, tfs)
-        starts = np.arange(0, n, BLOCK)
-        bound = pivot * np.maximum.reduceat(self.pivots, starts)
-        segments: dict[int, list[tuple[int, float]]] = {}
-        for i, w in zip(ids.tolist(), weights.tolist()):
-            a, b = self.head[i], self.head[i + 1]
-            bound[self.blocks[a:b]] += w * self.tops[a:b]
-            for s, block in enumerate(self.blocks[a:b].tolist(), int(a)):
-                segments.setdefault(block, []).append((s, w))
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if len(best) == k and bound[block] + 1e-12 < best[-1]:
-                break
-            low, high = block * BLOCK, min(n, block * BLOCK + BLOCK)
-            found = pivot * self.pivots[low:high]
-            for s, w in segments.get(block, ()):
-                a, b = self.begins[s], self.begins[s + 1]
-                found[self.posted[a:b] - low] += w * self.weights[a:b]
-            places = np.arange(low, high)
-            if but is not None and low <= but < high:
-                places, found = np.delete(places, but - low), np.delete(found, but - low)
-            places, found = np.concatenate((best_at, places)), np.concatenate((best, found))
-            order = np.lexsort((places, -np.round(found, 12)))[:k]
-            best_at, best = places[order], found[order]
-        return best_at, best
+        lengths = self.head[ids + 1] - self.head[ids]
+        segs, weights = self._ranges(self.head[ids], lengths), np.repeat(weights, lengths)
+        count = -(-n // BLOCK)
+        bound = pivot * np.maximum.reduceat(self.pivots, np.arange(0, n, BLOCK)) + np.bincount(
+            self.blocks[segs], weights * self.tops[segs], minlength=count
+        )
+        first = np.zeros(count, bool)
+        first[np.argsort(-bound, kind="stable")[: -(-(k + 1) // BLOCK) + 3]] = True
+        places, found = self._exact(first, segs, weights, pivot)
+        if but is not None:
+            found = np.where(places == but, -1.0, found)
+        rest = ~first & (bound + 1e-12 >= np.partition(found, -k)[-k])
+        if rest.any():
+            more, similar = self._exact(rest, segs, weights, pivot)
+            places, found = np.concatenate((places, more)), np.concatenate((found, similar))
+            if but is not None:
+                found = np.where(places == but, -1.0, found)
+        found = np.round(found, 12)
+        near = np.nonzero(found >= np.partition(found, -k)[-k])[0]
+        order = near[np.lexsort((places[near], -found[near]))[:k]]
+        return places[order], found[order]
 
     def vote(self, places: np.ndarray, similar: np.ndarray) -> float:
         """Share of toxic among the examples, each weighted by the inverse of its distance."""
@@ -315,7 +332,9 @@ def score(
             )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return known.mapInArrow(
+    # The vectors are a small table: without more tasks, few would have all the work.
+    tasks = min(n // 5000 + 1, max(4 * docs.sparkSession.sparkContext.defaultParallelism, n // 200_000 + 1))
+    return known.repartition(tasks).mapInArrow(
         batches, f"doc_id {kind}, score double, vote double, evidence array<struct<doc_id:bigint,label:int,similarity:double>>"
     ).withColumn("held_out", held_out(F.col("doc_id")))
 

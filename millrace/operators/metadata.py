@@ -92,6 +92,16 @@ def latest(documents: DataFrame) -> DataFrame:
     )
 
 
+def snapshot(documents: DataFrame, errors: DataFrame) -> DataFrame:
+    """What a monitor shows: totals, domains, errors, and the last document's time and domain. Reads one version of each table."""
+    return (
+        totals(documents)
+        .join(F.broadcast(distinct_domains(documents)))
+        .join(F.broadcast(row_count(errors).withColumnRenamed("filas", "errores")))
+        .join(F.broadcast(latest(documents)))
+    )
+
+
 def depth_histogram(documents: DataFrame) -> DataFrame:
     return documents.groupBy("profundidad").agg(F.count("*").alias("docs"))
 

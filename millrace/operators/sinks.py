@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +70,18 @@ def write_frequencies(frequencies: DataFrame, folder: str) -> None:
     ).csv(f"{folder}/zipf")
 
 
+def rewrite(rows: DataFrame, folder: str) -> None:
+    """Replace a Parquet folder by rows that may have been read from it: written beside it, then swapped in."""
+    spark = rows.sparkSession
+    fresh, old = f"{folder}.fresh-{uuid.uuid4().hex}", f"{folder}.old-{uuid.uuid4().hex}"
+    rows.write.parquet(fresh)
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    system = at(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.rename(at(folder), at(old))
+    system.rename(at(fresh), at(folder))
+    system.delete(at(old), True)
+
+
 def report(docs: DataFrame, label: str, column: str = "text", domain: str = "source") -> str:
     """Summary, commonest words and domains, and words that occur once, as text."""
     words = corpus_stats.word_frequencies(docs, column)

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.config import EngineConfig, Policy
-from millrace.functions import html, text, urls
-from millrace.operators import corpus_stats, documents, frontier, maintenance, metadata, progress
+from millrace.functions import html, sql, text, urls
+from millrace.operators import corpus_stats, documents, events, frontier, maintenance, metadata, progress
 from millrace.plans import oracles as o
 from millrace.sources import files
 
@@ -263,6 +263,25 @@ def adhoc_sql(spark, sf) -> DataFrame:
     return spark.sql("SELECT idioma, count(*) AS docs, max(palabras) AS mayor FROM documentos WHERE dominio_semilla = 1 GROUP BY idioma")
 
 
+def policy_sql(spark, sf) -> DataFrame:
+    sql.register(spark, CONFIG)
+    _table(spark, sf, "pages").createOrReplaceTempView("paginas")
+    return spark.sql(
+        "SELECT page_id, dominio_de(url) AS dominio, url_es_trampa(url) AS trampa, dominio_vetado(dominio_de(url)) AS vetado, "
+        "host_otro_idioma(dominio_de(url)) AS otro_idioma, url_es_prometedora(url, NULL) AS prometedora, "
+        "puntaje_tema(html) AS puntaje, densidad_tema(html) AS densidad FROM paginas"
+    )
+
+
+def event_log(spark, sf) -> DataFrame:
+    judged = documents.funnel(_documentos(spark, sf), CONFIG, order="id")
+    return events.visits(judged).union(events.outcomes(judged))
+
+
+def progress_snapshot(spark, sf) -> DataFrame:
+    return metadata.snapshot(_documentos(spark, sf), _errores(spark, sf))
+
+
 def insert_or_ignore(spark, sf) -> DataFrame:
     """URLs without query and fragment, inserted over those of every seventh page."""
     rows = _table(spark, sf, "pages").select(F.col("page_id").alias("seq"), F.regexp_replace("url", "[?#].*$", "").alias("url"))
@@ -371,6 +390,9 @@ _Q = {
     "depth_histogram": (_on_documents(metadata.depth_histogram), f"WITH {_DOCUMENTOS} SELECT profundidad, count(*) AS docs FROM documentos GROUP BY 1"),
     "seed_origin": (_on_documents(metadata.seed_origin), f"WITH {_DOCUMENTOS} SELECT dominio_semilla, count(*) AS docs FROM documentos GROUP BY 1"),
     "adhoc_sql": (adhoc_sql, f"WITH {_DOCUMENTOS} SELECT idioma, count(*) AS docs, CAST(max(palabras) AS INT) AS mayor FROM documentos WHERE dominio_semilla = 1 GROUP BY idioma"),
+    "policy_sql": (policy_sql, f"SELECT page_id, dominio, {o.trap('url', CONFIG)} AS trampa, {o.vetoed('dominio', CONFIG)} AS vetado, {o.other_language('dominio', CONFIG)} AS otro_idioma, {o.promising('url', o.q(''), CONFIG)} AS prometedora, CAST({o.score(o.topic_tokens('html'), CONFIG)} AS INT) AS puntaje, {o.density(o.topic_tokens('html'), CONFIG)} AS densidad FROM (SELECT *, {o.domain('url')} AS dominio FROM pages)"),
+    "event_log": (event_log, f"WITH {_DOCUMENTOS}, j AS (SELECT *, {o.reason(CONFIG)} AS m FROM documentos), k AS (SELECT *, CASE WHEN m IS NULL AND row_number() OVER (PARTITION BY hash_texto, m IS NULL ORDER BY id) > 1 THEN 'duplicado' ELSE m END AS motivo FROM j) SELECT 'VISITA' AS evento, format('d={{}} dom={{}} status={{}} bytes={{}} url={{}} ref=-', profundidad, dominio, http_status, bytes_html, url_final) AS linea FROM k UNION ALL SELECT CASE WHEN motivo IS NULL THEN 'GUARDADO' ELSE 'DESCARTE' END, CASE WHEN motivo IS NULL THEN format('{{}} | {{}} palabras | dens {{}} | {{}}', dominio, palabras, densidad_tema, substr(url_final, 1, 160)) ELSE substr(motivo || ': ' || url, 1, 220) END FROM k"),
+    "progress_snapshot": (progress_snapshot, f"WITH {_DOCUMENTOS}, {_ERRORES} SELECT count(*) AS docs, CAST(sum(palabras) AS BIGINT) AS palabras, CAST(sum(bytes_texto) AS BIGINT) AS bytes_texto, count(DISTINCT dominio) AS dominios, (SELECT count(*) FROM errores) AS errores, substr(max_by(fecha_descarga, id), 12, 8) AS hora, max_by(dominio, id) AS dominio FROM documentos"),
     "insert_or_ignore": (insert_or_ignore, "WITH u AS (SELECT page_id AS seq, regexp_replace(url, '[?#].*$', '') AS url FROM pages) SELECT min(seq) AS seq, url FROM u WHERE url NOT IN (SELECT url FROM u WHERE seq % 7 = 0) GROUP BY url"),
     "word_frequency": (_frequencies, f"WITH {_FREQ} SELECT * FROM f"),
     "zipf_rank": (lambda spark, sf: corpus_stats.zipf(_frequencies(spark, sf)), f"WITH {_FREQ} SELECT row_number() OVER (ORDER BY frecuencia DESC, encode(palabra)) AS rango, palabra, frecuencia, max(frecuencia) OVER () / row_number() OVER (ORDER BY frecuencia DESC, encode(palabra)) AS zipf_ideal FROM f"),

@@ -6,7 +6,7 @@ import struct
 from pyspark.sql import functions as F
 
 from millrace.config import EngineConfig
-from millrace.operators import corpus_stats, documents, frontier, maintenance, metadata, progress, sinks
+from millrace.operators import corpus_stats, documents, events, frontier, maintenance, metadata, progress, sinks
 from millrace.sources import files, tables
 
 C = EngineConfig()
@@ -144,6 +144,19 @@ def test_seed_lists(spark):
     assert (row["prioridad"], row["profundidad"], row["es_semilla"]) == (100, 0, 1)
 
 
+def test_rewrite_a_folder_from_itself(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    spark.range(10).write.parquet(folder)
+    sinks.rewrite(spark.read.parquet(folder).filter("id < 4"), folder)
+    assert spark.read.parquet(folder).count() == 4 and [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_stages_and_event_lines(spark):
+    errors = spark.createDataFrame([("http://a.org/" + "x" * 300, "Timeout")], "url string, motivo string")
+    line = events.run_stages(errors, [events.failures, lambda d: d.select("linea")]).first()[0]
+    assert line.endswith("x Timeout") and len(line) == 128
+
+
 def test_goal_and_rates(spark):
     rows = spark.createDataFrame([(i, 10) for i in range(1000)], "seq long, n long")
     assert progress.until_goal(rows, "n", 5005, pieces=64).count() == 501

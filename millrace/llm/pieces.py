@@ -15,8 +15,9 @@ only if merging their joint text gives just these two pieces back; each node
 then has exactly one admissible way to reach it, and the path is the one that
 merging the whole text gives. Both are the same search with other edge weights.
 
-Stretches between nodes that every path must cross (before a space mark, around
-characters in no piece) are remembered, as most words recur.
+Where two characters meet that no piece has side by side, every path must cross.
+Stretches between such nodes are remembered, as most words recur, and so are the
+nodes in them, as words begin alike.
 
 Defined results: null and empty texts have no ids; characters in no piece become
 byte pieces, or the unknown piece if the model has none; the model's space mark
@@ -28,6 +29,7 @@ cannot clash. Texts are encoded whole.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -43,6 +45,26 @@ MARK = "▁"
 _UNKNOWN_COST = 10.0
 
 
+def _stretches(pieces: Iterable[str]) -> re.Pattern:
+    """Splits a text at nodes that all paths cross: where two characters meet that no piece has side by side.
+
+    Only such nodes are used as a pattern finds fast: before a space, around line
+    ends, and after a run of letters. Letters that some piece has before another
+    character count as other characters.
+    """
+    pairs = {(p[i], p[i + 1]) for p in pieces for i in range(len(p) - 1)}
+    if any(b == " " and a != " " for a, b in pairs):
+        return re.compile(r"(?s).+")
+    lines = "" if any("\n" in x for x in pairs) else "\n"
+    odd: set[str] = set()
+    letter = re.compile(r"[^\W\d_]")
+    while found := {a for a, b in pairs if letter.match(a) and a not in odd and (not letter.match(b) or b in odd)}:
+        odd |= found
+    letters = r"[^\W\d_" + "".join(map(re.escape, sorted(odd))) + "]"
+    other = rf"(?:(?!{letters})[^ {lines}])"
+    return re.compile(("\n|" if lines else "") + rf" *{letters}+| *{other}+{letters}*| +")
+
+
 class Model:
     """Pieces, scores and type of a SentencePiece model file with the identity normaliser."""
 
@@ -56,27 +78,24 @@ class Model:
         if rules.precompiled_charsmap or rules.remove_extra_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix:
             raise ValueError("only models with the identity normaliser and space marks before words are supported")
         self.merging = proto.trainer_spec.model_type == proto.trainer_spec.BPE
-        self.prefix = MARK if rules.add_dummy_prefix else ""
+        self.prefix = " " if rules.add_dummy_prefix else ""
         kinds = proto.SentencePiece
-        self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type in (kinds.NORMAL, kinds.USER_DEFINED)}
-        self.scores = {p.piece: p.score for p in proto.pieces if p.type in (kinds.NORMAL, kinds.USER_DEFINED)}
+        plain = {i: p for i, p in enumerate(proto.pieces) if p.type in (kinds.NORMAL, kinds.USER_DEFINED)}
+        self.ids = {p.piece.replace(MARK, " "): i for i, p in plain.items()}
+        self.scores = {p.piece.replace(MARK, " "): p.score for p in plain.values()}
         self.bytes = [reader.piece_to_id(f"<0x{b:02X}>") for b in range(256)] if proto.trainer_spec.byte_fallback else None
         self.unknown = reader.unk_id()
         self.longest = max(map(len, self.ids), default=1)
         self.spelled = [
             bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE
-            else p.piece.replace(MARK, " ").encode() if p.piece in self.ids
+            else p.piece.replace(MARK, " ").encode() if i in plain
             else " ⁇ ".encode() if p.type == kinds.UNKNOWN else b""
-            for p in proto.pieces
+            for i, p in enumerate(proto.pieces)
         ]
         self.worst = min(self.scores.values(), default=0.0) - _UNKNOWN_COST
         self.joint = lru_cache(1 << 18)(self._joint)
         self.whole = lru_cache(1 << 16)(self._whole)
-        apart = all(MARK not in p.lstrip(MARK) for p in self.ids)
-        lines = not any("\n" in p for p in self.ids)
-        word = f"[^{MARK}\n]" if lines else f"[^{MARK}]"
-        #: Splits at nodes that all paths cross; one stretch if there are none to see.
-        self.stretch = re.compile(("\n|" if lines else "") + f"{MARK}*{word}+|{MARK}+") if apart else re.compile(r"(?s).+")
+        self.stretch = _stretches(self.ids)
 
     def merged(self, text: str) -> list[str]:
         """BPE of a short text by its definition: merge the best adjacent pair, leftmost first, while there is one."""
@@ -98,6 +117,21 @@ class Model:
     def _whole(self, piece: str) -> bool:
         return self.merged(piece) == [piece]
 
+    def last_start(self, text: str, node: int, starts, first: str | None) -> int:
+        """Where the one admissible last piece at a node begins (BPE).
+
+        starts tells it of each node before; first is the piece before the text, or
+        None where nothing is.
+        """
+        ids = self.ids
+        for start in range(node - 1, max(0, node - self.longest) - 1, -1):
+            piece = text[start:node]
+            if piece in ids or start == node - 1:
+                before = text[starts[start] : start] if start else first
+                if (before is None or self.joint(before, piece)) and self.whole(piece):
+                    break
+        return start
+
     def id_of(self, piece: str) -> list[int]:
         known = self.ids.get(piece)
         if known is not None:
@@ -112,29 +146,23 @@ class Stream:
         self.model = model
         self.text = ""  # the characters since the last committed node
         self.back: list[int] = [0]  # per node: where its last piece begins
-        self.cost: list[float] = [0.0]
-        self.last: list[str | None] = [None]  # per node: its last piece
+        self.cost: list[float] = [0.0]  # of unigram models
+        self.first: str | None = None  # the last committed piece
 
     def _reach(self, node: int) -> None:
         m, text = self.model, self.text
-        best = None
-        for start in range(max(0, node - m.longest), node):
-            piece = text[start:node]
-            if piece not in m.ids and node - start > 1:
-                continue
-            if m.merging:
-                before = self.last[start]
-                if m.whole(piece) and (before is None or m.joint(before, piece)):
-                    best = (0.0, start)
-                    break
-            else:
-                total = self.cost[start] + m.scores.get(piece, m.worst)
-                if best is None or total > best[0]:
-                    best = (total, start)
-        total, start = best
+        if m.merging:
+            start = m.last_start(text, node, self.back, self.first)
+        else:
+            best = math.inf
+            for at in range(max(0, node - m.longest), node):
+                piece = text[at:node]
+                if piece in m.ids or at == node - 1:
+                    total = self.cost[at] - m.scores.get(piece, m.worst)
+                    if total < best:
+                        best, start = total, at
+            self.cost.append(best)
         self.back.append(start)
-        self.cost.append(total)
-        self.last.append(text[start:node])
 
     def _commit(self, node: int) -> list[int]:
         pieces, at = [], node
@@ -142,17 +170,15 @@ class Stream:
             pieces.append(self.text[self.back[at] : at])
             at = self.back[at]
         out = [i for p in reversed(pieces) for i in self.model.id_of(p)]
-        self.text = self.text[node:]
+        self.first, self.text = pieces[0], self.text[node:]
         self.back = [max(0, b - node) for b in self.back[node:]]
-        self.cost = [c - self.cost[node] for c in self.cost[node:]]
-        self.last = self.last[node:]
+        self.cost = [c - self.cost[node] for c in self.cost[node:]] if len(self.cost) > node else self.cost
         return out
 
     def _meeting(self) -> int:
         """The latest node that the paths of all open nodes cross."""
         n = len(self.text)
         low = max(0, n - self.model.longest + 1)
-        at = n
         # A node's path descends; the least node that all have come to is where they meet.
         marks = set(range(low, n + 1))
         while len(marks) > 1:
@@ -170,30 +196,64 @@ class Stream:
             self.text += part
             for node in range(n + 1, n + len(part) + 1):
                 self._reach(node)
-            if (node := self._meeting()) > 0:
+            # What is shorter than the window need not be committed yet.
+            if len(self.text) > self.model.longest and (node := self._meeting()) > 0:
                 out += self._commit(node)
         return out
 
     def finish(self) -> list[int]:
         out = self._commit(len(self.text)) if self.text else []
-        self.last = [None]
+        self.first = None
         return out
 
 
-class _Memory(dict):
-    """Ids of stretches met before; emptied when full."""
+class _Generations(dict):
+    """A dictionary that forgets what was not set among the last `most` to `2 * most` keys."""
 
-    def __init__(self, model: Model, most: int = 1 << 17):
+    def __init__(self, most: int):
         super().__init__()
-        self.model, self.most = model, most
+        self.most, self.older = most, {}
+
+    def keep(self, key, value):
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
+
+class _Memory(_Generations):
+    """Ids of stretches met before, and for BPE the nodes in them, which stretches that begin alike share."""
+
+    def __init__(self, model: Model, most: int = 3 << 17):
+        super().__init__(most)
+        self.model, self.nodes = model, _Generations(most // 3)
+
+    def _short(self, stretch: str) -> list[int]:
+        """Ids of a stretch of at most 64 characters; only nodes after its longest known beginning are searched."""
+        nodes, n = self.nodes, len(stretch)
+        known, starts = n - 1, None
+        while known and starts is None:
+            begun = stretch[:known]
+            starts = nodes.get(begun) or nodes.older.get(begun)
+            known -= starts is None
+        starts = bytearray(starts or b"\0")
+        for node in range(known + 1, n + 1):
+            starts.append(self.model.last_start(stretch, node, starts, None))
+            nodes.keep(stretch[:node], bytes(starts))
+        out, at = [], n
+        while at:
+            out.append(stretch[starts[at] : at])
+            at = starts[at]
+        return [i for p in reversed(out) for i in self.model.id_of(p)]
 
     def __missing__(self, stretch: str) -> tuple[int, ...]:
-        stream = Stream(self.model)
-        ids = tuple(stream.feed(stretch) + stream.finish())
+        if len(stretch) > 64 or not self.model.merging:
+            stream = Stream(self.model)
+            ids = tuple(stream.feed(stretch) + stream.finish())
+        else:
+            ids = self.older.get(stretch) or tuple(self._short(stretch))
         if len(stretch) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[stretch] = ids
+            self.keep(stretch, ids)
         return ids
 
 
@@ -207,8 +267,8 @@ def encode(text: str | None, path: str = MODEL) -> list[int]:
     if not text:
         return []
     model, memory = _loaded(path)
-    marked = model.prefix + text.replace(" ", MARK)
-    return list(chain.from_iterable(map(memory.__getitem__, (m[0] for m in model.stretch.finditer(marked)))))
+    marked = model.prefix + text.replace(MARK, " ")
+    return list(chain.from_iterable(map(memory.__getitem__, model.stretch.findall(marked))))
 
 
 def decode(ids: Iterable[int], path: str = MODEL) -> str:

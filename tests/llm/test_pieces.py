@@ -28,7 +28,7 @@ def test_streaming_in_any_chunks_and_a_bounded_window():
     r = random.Random(2)
     for _ in range(300):
         text = "".join(r.choices(POOL, k=r.randint(1, 60)))
-        stream, rest, out = pieces.Stream(model), model.prefix + text.replace(" ", "▁"), []
+        stream, rest, out = pieces.Stream(model), model.prefix + text.replace("▁", " "), []
         while rest:
             k = r.randint(1, 9)
             out += stream.feed(rest[:k])

@@ -46,7 +46,7 @@ def directory(keys: DataFrame, capacity: int = 50_000, max_depth: int = 16) -> D
     fits = (F.col("total") <= capacity) | (F.col("level") == max_depth)
     return (
         levels.withColumn("prefix", at("level"))
-        .join(full.filter(fits), ["level", "prefix"])
+        .join(F.broadcast(full.filter(fits)), ["level", "prefix"])  # fewer than 2 * 2**max_depth rows
         .groupBy("slot")
         .agg(F.min("level").alias("depth"))
         .withColumn("bucket", F.expr(f"shiftleft(shiftright(slot, {max_depth} - depth), {max_depth} - depth)"))

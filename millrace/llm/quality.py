@@ -84,17 +84,19 @@ def count(text: str | None) -> tuple[int, ...]:
 
 
 def counts(docs: DataFrame, keep: str = "doc_id") -> DataFrame:
-    """Column `keep` and COUNTS of every row."""
+    """Column `keep` and COUNTS of every row. keep may be a struct that holds the text."""
+    inside = keep != "doc_id"
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            found = np.array([count(x) for x in batch.column("text").to_pylist()], np.int64).reshape(-1, len(COUNTS))
+            texts = batch.column(keep).field("text") if inside else batch.column("text")
+            found = np.array([count(x) for x in texts.to_pylist()], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(keep), *[pa.array(found[:, k]) for k in range(len(COUNTS))]], [keep, *COUNTS]
             )
 
     kind = dict(docs.dtypes)[keep]
-    return docs.select(keep, "text").mapInArrow(batches, f"{keep} {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return docs.select(keep, *[] if inside else ["text"]).mapInArrow(batches, f"{keep} {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 @dataclass(frozen=True)
@@ -210,7 +212,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least: float = 0.5)
 def filtered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least: float = 0.5) -> DataFrame:
     """The rows of docs that are kept, with all their columns. Counts twice rather than shuffle texts."""
     known = _posteriors(_voted(counts(docs), rules))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     return _verdicts(_voted(counts(rows, "_row"), rules), known, least).filter("kept").select("_row.*")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.config import EngineConfig, Policy
 from millrace.functions import html, sql, text, urls
-from millrace.operators import corpus_stats, documents, events, frontier, maintenance, metadata, progress
+from millrace.operators import corpus_stats, documents, events, frontier, maintenance, metadata, policy_tables, progress
 from millrace.plans import oracles as o
 from millrace.sources import files
 
@@ -34,7 +34,9 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _scored(spark, sf) -> DataFrame:
-    docs = _table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), F.col("text").alias("texto"), F.col("lang").alias("idioma"))
+    docs = _table(spark, sf, "documents").select(
+        F.col("doc_id").alias("seq"), F.col("text").alias("texto"), F.col("lang").alias("idioma"), "source"
+    )
     return documents.with_features(docs, CONFIG)
 
 
@@ -42,7 +44,7 @@ _tokens = o.topic_tokens("text")
 _SCORED = (
     f"scored AS (SELECT doc_id AS seq, {o.words('text')} AS palabras, octet_length(encode(text)) AS bytes_texto, sha256(text) AS hash_texto, "
     f"{o.score(_tokens, CONFIG)} AS puntaje_tema, {o.density(_tokens, CONFIG)} AS densidad_tema, "
-    f"{o.language('lang', _tokens, CONFIG)} AS idioma FROM documents), "
+    f"{o.language('lang', _tokens, CONFIG)} AS idioma, source FROM documents), "
     f"judged AS (SELECT *, {o.reason(CONFIG)} AS m FROM scored), "
     "fun AS (SELECT *, CASE WHEN m IS NULL AND row_number() OVER (PARTITION BY hash_texto, m IS NULL ORDER BY seq) > 1 THEN 'duplicado' ELSE m END AS motivo FROM judged)"
 )
@@ -54,7 +56,7 @@ def doc_features(spark, sf) -> DataFrame:
 
 def doc_language(spark, sf) -> DataFrame:
     docs = _table(spark, sf, "documents")
-    declared = F.when(F.col("doc_id") % 2 == 0, F.col("lang"))
+    declared = F.when(F.col("lang") != "de", F.col("lang"))  # German documents declare none
     return docs.select("doc_id", text.language(declared, text.topic_tokens(F.col("text")), CONFIG).alias("idioma"))
 
 
@@ -67,9 +69,10 @@ def funnel_saved(spark, sf) -> DataFrame:
 
 
 def funnel_incremental(spark, sf) -> DataFrame:
+    """All other sources, after an earlier run has stored what src0 holds."""
     scored = _scored(spark, sf)
-    seen = scored.filter("seq % 3 = 0").select("hash_texto")
-    return documents.funnel_counts(documents.funnel(scored.filter("seq % 3 <> 0"), CONFIG, seen))
+    seen = scored.filter("source = 'src0'").select("hash_texto")
+    return documents.funnel_counts(documents.funnel(scored.filter("source <> 'src0'"), CONFIG, seen))
 
 
 def dedup_first_wins(spark, sf) -> DataFrame:
@@ -99,15 +102,23 @@ def url_predicates(spark, sf) -> DataFrame:
     )
 
 
+#: The driver's pages name no seeds: those with this beginning stand for them.
+SEED_PREFIX = "https://www."
+
+
 def _seed_domains(spark, sf) -> DataFrame:
-    return _table(spark, sf, "pages").filter("page_id % 10 = 0").select(urls.domain(F.col("url")).alias("dominio")).distinct()
+    seeds_ = _table(spark, sf, "pages").filter(F.col("url").startswith(SEED_PREFIX))
+    return seeds_.select(urls.domain(F.col("url")).alias("dominio")).distinct()
 
 
-_SEEDS = f"seeds AS (SELECT DISTINCT {o.domain('url')} AS dominio FROM pages WHERE page_id % 10 = 0)"
+_SEEDS = f"seeds AS (SELECT DISTINCT {o.domain('url')} AS dominio FROM pages WHERE starts_with(url, '{SEED_PREFIX}'))"
 
 
 def seed_domains(spark, sf) -> DataFrame:
-    return files.seed_lines(_table(spark, sf, "pages").filter("page_id % 10 = 0").select(F.col("url").alias("value"))).select("dominio").distinct()
+    """Seed list of all URLs, those that are no seeds commented out."""
+    url = F.col("url")
+    lines = _table(spark, sf, "pages").select(F.when(url.startswith(SEED_PREFIX), url).otherwise(F.concat(F.lit("# "), url)).alias("value"))
+    return files.seed_lines(lines).select("dominio").distinct()
 
 
 def frontier_filter_reasons(spark, sf) -> DataFrame:
@@ -120,6 +131,19 @@ def frontier_filter_reasons(spark, sf) -> DataFrame:
     )
 
 
+def host_tables(spark, sf) -> DataFrame:
+    """Hosts and label words as tables."""
+    rows = _table(spark, sf, "pages").select("page_id", urls.domain(F.col("url")).alias("dominio"))
+    hosts = spark.createDataFrame([("example.org",), ("tionsh.example.net",), ("net.example",)], "host string")
+    words = spark.createDataFrame([("casino",), ("thn",), ("le.c",)], "palabra string")
+    return policy_tables.labels_with(policy_tables.below_hosts(rows, hosts, "listado"), words, "palabra_vetada", 6, 3)
+
+
+def topic_table(spark, sf) -> DataFrame:
+    terms = [(t, int(t in CONFIG.policy.core)) for t in CONFIG.policy.topic]
+    return policy_tables.topic_scores(_table(spark, sf, "documents"), spark.createDataFrame(terms, "palabra string, nucleo int"), "doc_id", "text")
+
+
 # --- HTML ------------------------------------------------------------------
 
 
@@ -192,7 +216,7 @@ def bfs_levels(spark, sf) -> DataFrame:
     links = edges.join(pages.select(F.col("page_id").alias("dst"), "url"), "dst").select(
         "src", "seq", "n", "url", F.lit("").alias("anchor"), F.lit(1).alias("rica")
     )
-    seeds = pages.filter("page_id IN (4, 10)").select("url", urls.domain(F.col("url")).alias("dominio"))
+    seeds = pages.filter(F.col("url").startswith(SEED_PREFIX)).select("url", urls.domain(F.col("url")).alias("dominio"))
     return frontier.expand(seeds, pages, links, WIDE).select(
         "url", "profundidad", "es_semilla", F.coalesce("motivo", F.lit("leida")).alias("motivo")
     )
@@ -200,7 +224,7 @@ def bfs_levels(spark, sf) -> DataFrame:
 
 _BFS = f"""
 WITH RECURSIVE m AS (SELECT max(page_id) + 1 AS n FROM pages),
-seeds AS (SELECT url, {o.domain('url')} AS dominio FROM pages WHERE page_id IN (4, 10)),
+seeds AS (SELECT url, {o.domain('url')} AS dominio FROM pages WHERE starts_with(url, '{SEED_PREFIX}')),
 e AS (SELECT p.url AS src, d.url AS url, {o.domain('d.url')} AS dom FROM pages p, m, pages d WHERE d.page_id IN ((p.page_id * 3 + 1) % n, (p.page_id * 5 + 2) % n)),
 ok AS (SELECT * FROM e WHERE NOT {o.trap('url', WIDE)} AND NOT ({o.vetoed('dom', WIDE)}) AND NOT ({o.other_language('dom', WIDE)})
     AND (dom IN (SELECT dominio FROM seeds) OR {o.promising('url', o.q(''), WIDE)})),
@@ -220,8 +244,8 @@ def _documentos(spark, sf) -> DataFrame:
         F.col("page_id").alias("seq"),
         "url",
         "html",
-        (F.col("page_id") % 4).alias("profundidad"),
-        F.when(F.col("page_id") % 10 == 0, 1).otherwise(0).alias("es_semilla"),
+        F.regexp_count("url", F.lit("/")).alias("profundidad"),
+        F.when(F.col("url").startswith(SEED_PREFIX), 1).otherwise(0).alias("es_semilla"),
         F.format_string("2026-01-%02dT%02d:00:00+00:00", F.col("page_id") % 28 + 1, F.col("page_id") % 24).alias("fecha_descarga"),
     )
     return documents.assembled(pages, _seed_domains(spark, sf), CONFIG).withColumn("id", F.col("seq")).drop("seq")
@@ -229,8 +253,8 @@ def _documentos(spark, sf) -> DataFrame:
 
 _ptokens = o.topic_tokens("texto")
 _DOCUMENTOS = (
-    f"{_SEEDS}, base AS (SELECT page_id AS id, url, url AS url_final, {o.domain('url')} AS dominio, '' AS referer, CAST(page_id % 4 AS INT) AS profundidad, "
-    "CAST(page_id % 10 = 0 AS INT) AS es_semilla, 200 AS http_status, 'text/html' AS content_type, octet_length(encode(html)) AS bytes_html, '' AS last_modified, "
+    f"{_SEEDS}, base AS (SELECT page_id AS id, url, url AS url_final, {o.domain('url')} AS dominio, '' AS referer, CAST(len(regexp_extract_all(url, '/')) AS INT) AS profundidad, "
+    f"CAST(starts_with(url, '{SEED_PREFIX}') AS INT) AS es_semilla, 200 AS http_status, 'text/html' AS content_type, octet_length(encode(html)) AS bytes_html, '' AS last_modified, "
     "'' AS etag, format('2026-01-{:02d}T{:02d}:00:00+00:00', page_id % 28 + 1, page_id % 24) AS fecha_descarga, "
     f"{o.title('html')} AS titulo, {o.declared('html')} AS lang, {o.main_text('html', CONFIG)} AS texto FROM pages), "
     f"documentos AS (SELECT base.* EXCLUDE (lang), CAST(dominio IN (SELECT dominio FROM seeds) AS INT) AS dominio_semilla, {o.words('texto')} AS palabras, "
@@ -240,12 +264,12 @@ _DOCUMENTOS = (
 
 
 def _errores(spark, sf) -> DataFrame:
-    """Events of type error as failed requests; every fifth was a policy rejection."""
+    """Events of type error as failed requests; those of small value were policy rejections."""
     events = _table(spark, sf, "events").filter("event_type = 'error'")
     return metadata.real_failures(
         events.select(
             F.concat(F.lit("http://h"), F.col("user_id") % 40, F.lit(".example.org/"), "event_id").alias("url"),
-            F.when(F.col("event_id") % 5 == 0, "IgnoreRequest").otherwise("TimeoutError").alias("error_class"),
+            F.when(F.col("value") < 5, "IgnoreRequest").otherwise("TimeoutError").alias("error_class"),
             F.coalesce("props", F.lit("")).alias("motivo"),
             F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("fecha"),
         )
@@ -254,7 +278,7 @@ def _errores(spark, sf) -> DataFrame:
 
 _ERRORES = (
     "errores AS (SELECT 'h' || (user_id % 40) || '.example.org' AS dominio, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS fecha "
-    "FROM events WHERE event_type = 'error' AND event_id % 5 <> 0)"
+    "FROM events WHERE event_type = 'error' AND NOT coalesce(value < 5, false))"
 )
 
 
@@ -283,9 +307,11 @@ def progress_snapshot(spark, sf) -> DataFrame:
 
 
 def insert_or_ignore(spark, sf) -> DataFrame:
-    """URLs without query and fragment, inserted over those of every seventh page."""
-    rows = _table(spark, sf, "pages").select(F.col("page_id").alias("seq"), F.regexp_replace("url", "[?#].*$", "").alias("url"))
-    return metadata.inserted(rows, rows.filter("seq % 7 = 0")).select("seq", "url")
+    """All URLs without scheme, query and fragment, inserted over those that plain http has."""
+    rows = _table(spark, sf, "pages").select(
+        F.col("page_id").alias("seq"), F.regexp_replace("url", "[?#].*$|^https?://", "").alias("url"), F.col("url").startswith("http://").alias("old")
+    )
+    return metadata.inserted(rows, rows.filter("old")).select("seq", "url")
 
 
 # --- statistics ------------------------------------------------------------
@@ -341,16 +367,18 @@ SELECT slot, prioridad, CAST(sum(n) AS BIGINT) AS registros, max(chunk) AS ultim
 
 
 def orphans(spark, sf) -> DataFrame:
-    """Files of every page, against documents of which every ninth is missing."""
+    """Files of every page, against the documents in English."""
     docs = _documentos(spark, sf)
-    return maintenance.orphans(docs.select(F.col("ruta_archivo").alias("ruta")).distinct(), docs.filter("id % 9 <> 0"))
+    return maintenance.orphans(docs.select(F.col("ruta_archivo").alias("ruta")).distinct(), docs.filter("idioma = 'en'"))
 
 
 def content_type_filter(spark, sf) -> DataFrame:
-    kinds = F.element_at(
-        F.array(*[F.lit(x) for x in ("text/html; charset=utf-8", "", "TEXT/PLAIN", "application/pdf", "image/png;q=1")]),
-        (F.col("page_id") % 5 + 1).cast("int"),
-    )
+    """Types by the shape of the URL."""
+    url = F.col("url")
+    kinds = (
+        F.when(url.endswith(".html"), "text/html; charset=utf-8").when(url.endswith("/"), "").when(url.endswith("#top"), "TEXT/PLAIN")
+        .when(url.contains("?"), "application/pdf").otherwise("image/png;q=1")
+    )
     rows = _table(spark, sf, "pages").select(kinds.alias("ct"))
     return rows.groupBy(F.coalesce(documents.content_type_reason("ct", CONFIG), F.lit("aceptado")).alias("motivo")).agg(F.count("*").alias("paginas"))
 
@@ -361,15 +389,17 @@ def _on_documents(f):
 
 _Q = {
     "doc_features": (doc_features, f"WITH {_SCORED} SELECT seq, palabras, bytes_texto, hash_texto, puntaje_tema, densidad_tema FROM scored"),
-    "doc_language": (doc_language, f"SELECT doc_id, {o.language('d', _tokens, CONFIG)} AS idioma FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN lang END AS d FROM documents)"),
+    "doc_language": (doc_language, f"SELECT doc_id, {o.language('d', _tokens, CONFIG)} AS idioma FROM (SELECT *, CASE WHEN lang <> 'de' THEN lang END AS d FROM documents)"),
     "filter_funnel": (filter_funnel, f"WITH {_SCORED} SELECT coalesce(motivo, 'guardado') AS motivo, count(*) AS docs, CAST(sum(palabras) AS BIGINT) AS palabras, CAST(sum(bytes_texto) AS BIGINT) AS bytes_texto FROM fun GROUP BY 1"),
     "funnel_saved": (funnel_saved, f"WITH {_SCORED} SELECT seq, hash_texto FROM fun WHERE motivo IS NULL"),
-    "funnel_incremental": (funnel_incremental, f"WITH {_SCORED}, rest AS (SELECT *, CASE WHEN m IS NULL AND (row_number() OVER (PARTITION BY hash_texto, m IS NULL ORDER BY seq) > 1 OR hash_texto IN (SELECT hash_texto FROM scored WHERE seq % 3 = 0)) THEN 'duplicado' ELSE m END AS motivo FROM judged WHERE seq % 3 <> 0) SELECT coalesce(motivo, 'guardado') AS motivo, count(*) AS docs, CAST(sum(palabras) AS BIGINT) AS palabras, CAST(sum(bytes_texto) AS BIGINT) AS bytes_texto FROM rest GROUP BY 1"),
+    "funnel_incremental": (funnel_incremental, f"WITH {_SCORED}, rest AS (SELECT *, CASE WHEN m IS NULL AND (row_number() OVER (PARTITION BY hash_texto, m IS NULL ORDER BY seq) > 1 OR hash_texto IN (SELECT hash_texto FROM scored WHERE source = 'src0')) THEN 'duplicado' ELSE m END AS motivo FROM judged WHERE source <> 'src0') SELECT coalesce(motivo, 'guardado') AS motivo, count(*) AS docs, CAST(sum(palabras) AS BIGINT) AS palabras, CAST(sum(bytes_texto) AS BIGINT) AS bytes_texto FROM rest GROUP BY 1"),
     "dedup_first_wins": (dedup_first_wins, "SELECT min(doc_id) AS doc_id, sha256(text) AS hash_texto FROM documents GROUP BY 2"),
     "text_normalize": (text_normalize, f"SELECT doc_id, sha256({o.clean('text')}) AS digest FROM documents"),
     "url_predicates": (url_predicates, f"SELECT page_id, dominio, {o.trap('url', CONFIG)} AS trampa, {o.vetoed('dominio', CONFIG)} AS vetado, {o.other_language('dominio', CONFIG)} AS otro_idioma, {o.promising('url', o.q(''), CONFIG)} AS prometedora, {o.extension_denied('url', CONFIG)} AS extension, {o.canonical('url')} AS canonica, dominio || '/' || substr(md5(url), 1, 2) || '/' || md5(url) || '.txt' AS ruta FROM (SELECT *, {o.domain('url')} AS dominio FROM pages)"),
     "seed_domains": (seed_domains, f"WITH {_SEEDS} SELECT dominio FROM seeds"),
     "frontier_filter_reasons": (frontier_filter_reasons, f"WITH {_SEEDS} SELECT coalesce({o.frontier_reason('url', 'dominio', '(dominio IN (SELECT dominio FROM seeds))', OPEN)}, 'aceptada') AS motivo, count(*) AS urls FROM (SELECT url, {o.domain('url')} AS dominio FROM pages) GROUP BY 1"),
+    "host_tables": (host_tables, f"SELECT page_id, dominio, regexp_matches(dominio, '(^|[.])(example[.]org|tionsh[.]example[.]net|net[.]example)$') AS listado, regexp_matches(dominio, 'casino|thn') AS palabra_vetada FROM (SELECT page_id, {o.domain('url')} AS dominio FROM pages)"),
+    "topic_table": (topic_table, f"SELECT doc_id, CAST({o.score(_tokens, CONFIG)} AS BIGINT) AS puntaje, CAST({o.hits(_tokens, CONFIG.policy.topic)} AS BIGINT) AS menciones FROM documents"),
     "html_features": (html_features, f"SELECT page_id, {o.title('html')} AS titulo, {o.declared('html')} AS idioma, sha256({o.main_text('html', CONFIG)}) AS digest, {o.mentions('html', CONFIG)} AS menciones, {o.mentions('html', CONFIG)} >= {CONFIG.rich_page_mentions} AS rica FROM pages"),
     "page_richness": (page_richness, f"SELECT count(*) FILTER (r) AS paginas_ricas, count(*) FILTER (NOT r) AS paginas_pobres FROM (SELECT {o.mentions('html', CONFIG)} >= {CONFIG.rich_page_mentions} AS r FROM pages)"),
     "html_links": (html_links, f"WITH {_LINKS} SELECT seq, n, url, anchor, rica FROM allowed"),
@@ -393,7 +423,7 @@ _Q = {
     "policy_sql": (policy_sql, f"SELECT page_id, dominio, {o.trap('url', CONFIG)} AS trampa, {o.vetoed('dominio', CONFIG)} AS vetado, {o.other_language('dominio', CONFIG)} AS otro_idioma, {o.promising('url', o.q(''), CONFIG)} AS prometedora, CAST({o.score(o.topic_tokens('html'), CONFIG)} AS INT) AS puntaje, {o.density(o.topic_tokens('html'), CONFIG)} AS densidad FROM (SELECT *, {o.domain('url')} AS dominio FROM pages)"),
     "event_log": (event_log, f"WITH {_DOCUMENTOS}, j AS (SELECT *, {o.reason(CONFIG)} AS m FROM documentos), k AS (SELECT *, CASE WHEN m IS NULL AND row_number() OVER (PARTITION BY hash_texto, m IS NULL ORDER BY id) > 1 THEN 'duplicado' ELSE m END AS motivo FROM j) SELECT 'VISITA' AS evento, format('d={{}} dom={{}} status={{}} bytes={{}} url={{}} ref=-', profundidad, dominio, http_status, bytes_html, url_final) AS linea FROM k UNION ALL SELECT CASE WHEN motivo IS NULL THEN 'GUARDADO' ELSE 'DESCARTE' END, CASE WHEN motivo IS NULL THEN format('{{}} | {{}} palabras | dens {{}} | {{}}', dominio, palabras, densidad_tema, substr(url_final, 1, 160)) ELSE substr(motivo || ': ' || url, 1, 220) END FROM k"),
     "progress_snapshot": (progress_snapshot, f"WITH {_DOCUMENTOS}, {_ERRORES} SELECT count(*) AS docs, CAST(sum(palabras) AS BIGINT) AS palabras, CAST(sum(bytes_texto) AS BIGINT) AS bytes_texto, count(DISTINCT dominio) AS dominios, (SELECT count(*) FROM errores) AS errores, substr(max_by(fecha_descarga, id), 12, 8) AS hora, max_by(dominio, id) AS dominio FROM documentos"),
-    "insert_or_ignore": (insert_or_ignore, "WITH u AS (SELECT page_id AS seq, regexp_replace(url, '[?#].*$', '') AS url FROM pages) SELECT min(seq) AS seq, url FROM u WHERE url NOT IN (SELECT url FROM u WHERE seq % 7 = 0) GROUP BY url"),
+    "insert_or_ignore": (insert_or_ignore, "WITH u AS (SELECT page_id AS seq, regexp_replace(url, '[?#].*$|^https?://', '', 'g') AS url, starts_with(url, 'http://') AS old FROM pages) SELECT min(seq) AS seq, url FROM u WHERE url NOT IN (SELECT url FROM u WHERE old) GROUP BY url"),
     "word_frequency": (_frequencies, f"WITH {_FREQ} SELECT * FROM f"),
     "zipf_rank": (lambda spark, sf: corpus_stats.zipf(_frequencies(spark, sf)), f"WITH {_FREQ} SELECT row_number() OVER (ORDER BY frecuencia DESC, encode(palabra)) AS rango, palabra, frecuencia, max(frecuencia) OVER () / row_number() OVER (ORDER BY frecuencia DESC, encode(palabra)) AS zipf_ideal FROM f"),
     "hapax": (lambda spark, sf: corpus_stats.hapax(_frequencies(spark, sf)), f"WITH {_FREQ} SELECT count(*) FILTER (frecuencia = 1) AS hapax, count(*) AS vocabulario, round(100.0 * count(*) FILTER (frecuencia = 1) / count(*), 1) AS porcentaje FROM f"),
@@ -408,8 +438,8 @@ r AS (SELECT *, coalesce((docs - lag(docs) OVER v) * 60.0::DOUBLE / (t - lag(t)
 SELECT user_id, t, docs, round(dm, 6) AS docs_min, round(mh, 6) AS mb_h, goal, round(CASE WHEN mh > 1 THEN (goal * 1073741824 - bytes) / 1048576.0::DOUBLE / mh END, 4) AS eta_h FROM r"""),
     "purge_report": (lambda spark, sf: maintenance.purge_report(maintenance.purge_candidates(_documentos(spark, sf), CONFIG)), f"WITH {_DOCUMENTOS} SELECT dominio, count(*) AS docs FROM documentos WHERE ({o.vetoed('dominio', CONFIG)}) OR ({o.other_language('dominio', CONFIG)}) GROUP BY 1"),
     "purged_documents": (lambda spark, sf: maintenance.purged(_documentos(spark, sf), CONFIG).select("id", "dominio"), f"WITH {_DOCUMENTOS} SELECT id, dominio FROM documentos WHERE NOT (({o.vetoed('dominio', CONFIG)}) OR ({o.other_language('dominio', CONFIG)}))"),
-    "orphans": (orphans, f"WITH {_DOCUMENTOS} SELECT DISTINCT ruta_archivo AS ruta FROM documentos WHERE ruta_archivo NOT IN (SELECT ruta_archivo FROM documentos WHERE id % 9 <> 0)"),
-    "content_type_filter": (content_type_filter, "SELECT CASE page_id % 5 WHEN 3 THEN 'tipo_descartado/application/pdf' WHEN 4 THEN 'tipo_descartado/image/png' ELSE 'aceptado' END AS motivo, count(*) AS paginas FROM pages GROUP BY 1"),
+    "orphans": (orphans, f"WITH {_DOCUMENTOS} SELECT DISTINCT ruta_archivo AS ruta FROM documentos WHERE ruta_archivo NOT IN (SELECT ruta_archivo FROM documentos WHERE idioma = 'en')"),
+    "content_type_filter": (content_type_filter, "SELECT CASE WHEN url LIKE '%.html' OR url LIKE '%/' OR url LIKE '%#top' THEN 'aceptado' WHEN url LIKE '%?%' THEN 'tipo_descartado/application/pdf' ELSE 'tipo_descartado/image/png' END AS motivo, count(*) AS paginas FROM pages GROUP BY 1"),
     "queue_decode": (queue_decode, _QUEUE),
 }
 

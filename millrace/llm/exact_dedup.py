@@ -53,7 +53,7 @@ def directory(keys: DataFrame, capacity: int = 50_000, max_depth: int = 16) -> D
     )
 
 
-def index(docs: DataFrame, entries: DataFrame, slots: DataFrame, max_depth: int = 16) -> DataFrame:
+def index(docs: DataFrame, slots: DataFrame, max_depth: int = 16) -> DataFrame:
     """One row per distinct text: bucket, key, chain (place among the key's texts), sha."""
     texts = docs.select(normalised(F.col("text")).alias("norm")).withColumn("key", F.xxhash64("norm"))
     compared = texts.groupBy("key", "norm").agg(F.count("*").alias("copies"))
@@ -79,7 +79,7 @@ def classes(docs: DataFrame, capacity: int = 50_000, max_depth: int = 16) -> Dat
         norm.select("doc_id", "n", F.xxhash64("norm").alias("key"), F.unhex(F.sha2("norm", 256)).alias("sha")), "entries"
     )
     slots = _store.materialise(directory(entries.select("key").distinct(), capacity, max_depth), "directory")
-    texts = _store.materialise(index(docs, entries, slots, max_depth), "index")
+    texts = _store.materialise(index(docs, slots, max_depth), "index")
     groups = entries.groupBy("key", "sha").agg(
         F.count("*").alias("group_size"), F.max(F.struct("n", (-F.col("doc_id")).alias("less"))).alias("best")
     )

@@ -42,7 +42,7 @@ def test_directory_splits_only_overfull_buckets(spark):
 def test_colliding_keys_are_chained(spark):
     docs = edge.plain(spark, [(1, "a", None, None, 1), (2, "b", None, None, 1)])
     slots = spark.createDataFrame([(s, 0, 0) for s in range(16)], "slot long, depth int, bucket long")
-    out = exact_dedup.index(docs, None, slots, max_depth=4)
+    out = exact_dedup.index(docs, slots, max_depth=4)
     assert sorted(r["chain"] for r in out.collect()) == [1, 1]
     assert out.select("sha").distinct().count() == 2
 

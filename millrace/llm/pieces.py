@@ -31,14 +31,16 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from millrace.llm._arrow import slices
+
 #: A parameter of all functions below; the file must be on every machine.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -128,7 +130,8 @@ class Model:
             piece = text[start:node]
             if piece in ids or start == node - 1:
                 before = text[starts[start] : start] if start else first
-                if (before is None or self.joint(before, piece)) and self.whole(piece):
+                # A piece that follows another admissibly is whole by itself, too.
+                if self.whole(piece) if before is None else self.joint(before, piece):
                     break
         return start
 
@@ -222,11 +225,11 @@ class _Generations(dict):
 
 
 class _Memory(_Generations):
-    """Ids of stretches met before, and for BPE the nodes in them, which stretches that begin alike share."""
+    """Ids (as bytes of 32-bit integers) of stretches met before, and for BPE the nodes in them, which stretches that begin alike share."""
 
-    def __init__(self, model: Model, most: int = 3 << 17):
+    def __init__(self, model: Model, most: int = 1 << 18):
         super().__init__(most)
-        self.model, self.nodes = model, _Generations(most // 3)
+        self.model, self.nodes = model, _Generations(most)
 
     def _short(self, stretch: str) -> list[int]:
         """Ids of a stretch of at most 64 characters; only nodes after its longest known beginning are searched."""
@@ -246,12 +249,12 @@ class _Memory(_Generations):
             at = starts[at]
         return [i for p in reversed(out) for i in self.model.id_of(p)]
 
-    def __missing__(self, stretch: str) -> tuple[int, ...]:
+    def __missing__(self, stretch: str) -> bytes:
         if len(stretch) > 64 or not self.model.merging:
             stream = Stream(self.model)
-            ids = tuple(stream.feed(stretch) + stream.finish())
+            ids = np.array(stream.feed(stretch) + stream.finish(), np.int32).tobytes()
         else:
-            ids = self.older.get(stretch) or tuple(self._short(stretch))
+            ids = self.older.get(stretch) or array("i", self._short(stretch)).tobytes()
         if len(stretch) <= 64:
             self.keep(stretch, ids)
         return ids
@@ -263,12 +266,16 @@ def _loaded(path: str) -> tuple[Model, _Memory]:
     return model, _Memory(model)
 
 
-def encode(text: str | None, path: str = MODEL) -> list[int]:
+def _encoded(text: str | None, path: str) -> np.ndarray:
     if not text:
-        return []
+        return np.zeros(0, np.int32)
     model, memory = _loaded(path)
     marked = model.prefix + text.replace(MARK, " ")
-    return list(chain.from_iterable(map(memory.__getitem__, model.stretch.findall(marked))))
+    return np.frombuffer(b"".join(map(memory.__getitem__, model.stretch.findall(marked))), np.int32)
+
+
+def encode(text: str | None, path: str = MODEL) -> list[int]:
+    return _encoded(text, path).tolist()
 
 
 def decode(ids: Iterable[int], path: str = MODEL) -> str:
@@ -282,13 +289,13 @@ def encoded(docs: DataFrame, path: str = MODEL, keep: tuple[str, ...] = ("doc_id
     """Columns `keep`, and n_ids, ids, round_trip (whether decoding the ids gives the text back)."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in slices(source):
             parts, lengths, same = [], [0], []
             for text in batch.column("text").to_pylist():
-                ids = encode(text, path)
-                parts.append(np.array(ids, np.int32))
+                ids = _encoded(text, path)
+                parts.append(ids)
                 lengths.append(len(ids))
-                same.append(decode(ids, path) == (text or "").replace(MARK, " "))
+                same.append(decode(ids.tolist(), path) == (text or "").replace(MARK, " "))
             flat = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -309,7 +316,7 @@ def decoded(tokens: DataFrame, path: str = MODEL, keep: tuple[str, ...] = ("doc_
     """Columns `keep`, and text: the decoded `ids`; null ids give the empty text."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in slices(source):
             texts = [decode(x or (), path) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(texts, pa.string())], [*keep, "text"])
 

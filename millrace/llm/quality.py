@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _store
+from millrace.llm._arrow import slices
 
 BAD, ABSTAIN, GOOD = 0, 1, 2
 SYMBOLS = b"#*$%&|<>"
@@ -88,7 +89,7 @@ def counts(docs: DataFrame, keep: str = "doc_id") -> DataFrame:
     inside = keep != "doc_id"
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in slices(source):
             texts = batch.column(keep).field("text") if inside else batch.column("text")
             found = np.array([count(x) for x in texts.to_pylist()], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays(

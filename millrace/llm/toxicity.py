@@ -45,6 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _store
+from millrace.llm._arrow import slices
 
 PREFIXES = (4, 5, 6)
 LONGEST = 40
@@ -87,7 +88,7 @@ def vocabulary(texts: DataFrame, size: int, least: int = 3) -> list[str]:
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
         n = [0, 0]
-        for batch in source:
+        for batch in slices(source):
             for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist()):
                 n[label] += 1
                 seen[label].update({t for token in set((text or "").lower().split()) for t in terms(token)})
@@ -126,7 +127,7 @@ def vectors(docs: DataFrame, words: list[str]) -> DataFrame:
         place = {w: i for i, w in enumerate(words)}
         # A word with a term in the vocabulary begins as one of them does.
         heads = {w.removeprefix("^")[: PREFIXES[0]] for w in words}
-        for batch in source:
+        for batch in slices(source):
             found: list[dict[int, int]] = []
             for text in batch.column("text").to_pylist():
                 tf: dict[int, int] = {}
@@ -317,7 +318,7 @@ def score(
             ]
             return level, vote, why
 
-        for batch in source:
+        for batch in slices(source):
             found = [
                 judged(tuple(a), tuple(b)) for a, b in zip(batch.column("ids").to_pylist(), batch.column("tfs").to_pylist())
             ]

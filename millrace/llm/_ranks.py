@@ -13,26 +13,22 @@ def numbered(df: DataFrame, group: list[str], bucket: Column, order: list[Column
     `order`. Rows are numbered inside (group, bucket), and a running sum over
     the pieces' counts, one row each, gives where a piece starts. A group with a
     third of all rows is so spread over as many tasks as it has buckets.
+
+    Group and bucket are one struct column, in which nulls are equal: rows are
+    dealt once, for numbering and for meeting their piece's start.
     """
-    keys = [*group, "_bucket"]
-    pieces = df.withColumn("_bucket", bucket)
-    within = Window.partitionBy(*keys).orderBy(*order)
-    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = df.withColumn("_piece_key", F.struct(*group, bucket.alias("_bucket")))
+    within = Window.partitionBy("_piece_key").orderBy(*order)
+    of_group = [F.col(f"_piece_key.{g}") for g in group]
+    before = Window.partitionBy(*of_group).orderBy("_piece_key._bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        pieces.groupBy(*keys)
+        pieces.groupBy("_piece_key")
         .agg(F.count("*").alias("_n"))
-        .select(
-            *[F.col(k).alias(f"_s_{k}") for k in keys],
-            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
-        )
+        .select("_piece_key", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     )
-    same = None
-    for k in keys:
-        on = F.col(k).eqNullSafe(F.col(f"_s_{k}"))
-        same = on if same is None else same & on
     return (
         pieces.withColumn("_in_piece", F.row_number().over(within) - 1)
-        .join(starts, same)
+        .join(starts, "_piece_key")
         .withColumn(out, F.col("_start") + F.col("_in_piece"))
-        .drop("_bucket", "_in_piece", "_start", *[f"_s_{k}" for k in keys])
+        .drop("_piece_key", "_in_piece", "_start")
     )

@@ -59,6 +59,7 @@ EXTRA_RULES = (
 )
 RULES = BASE_RULES + EXTRA_RULES
 
+_BLOCK = 256
 _SPANS = "array<struct<start:bigint,ord:int,end:bigint>>"
 
 
@@ -78,27 +79,49 @@ def _found(text: Column, rule: Rule, order: int) -> Column:
             lambda x, part: F.struct(x["gap"].alias("gap"), x["match"].alias("match"), F.length(part).alias("part")),
         )
     kept = "part" if rule.group else "match"
-    spans = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPANS).alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["match"]).alias("at"),
-            F.when(
-                x[kept] >= rule.least,
-                F.array_append(
-                    acc["out"],
-                    F.struct(
-                        (acc["at"] + x["gap"]).alias("start"),
-                        F.lit(order).alias("ord"),
-                        (acc["at"] + x["gap"] + x["match"]).alias("end"),
+    width = lambda x: x["gap"] + F.coalesce(x["match"], F.lit(0).cast("bigint"))
+
+    def within(block: Column, start: Column) -> Column:
+        return F.aggregate(
+            block,
+            F.struct(start.alias("at"), F.array().cast(_SPANS).alias("out")),
+            lambda acc, x: F.struct(
+                (acc["at"] + width(x)).alias("at"),
+                F.when(
+                    x[kept] >= rule.least,
+                    F.array_append(
+                        acc["out"],
+                        F.struct(
+                            (acc["at"] + x["gap"]).alias("start"),
+                            F.lit(order).alias("ord"),
+                            (acc["at"] + width(x)).alias("end"),
+                        ),
                     ),
-                ),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
+                )
+                .otherwise(acc["out"])
+                .alias("out"),
+            ),
+            lambda acc: acc["out"],
+        )
+
+    # Appending copies an array: in blocks, a text with many matches costs little
+    # more than their number. An array of one and transform() name a value.
+    named = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    cut = named(
+        lengths,
+        lambda all_: F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / _BLOCK).cast("int")),
+            lambda k: F.slice(all_, k * _BLOCK + 1, F.lit(_BLOCK)),
         ),
+    )
+    zero = F.lit(0).cast("bigint")
+    starts = lambda blocks: F.aggregate(
+        F.transform(blocks, lambda b: F.aggregate(b, zero, lambda acc, x: acc + width(x))),
+        F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out")),
+        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")),
         lambda acc: acc["out"],
     )
+    spans = named(cut, lambda blocks: F.flatten(F.zip_with(blocks, starts(blocks), within)))
     return F.when(text.rlike(rule.pattern), spans).otherwise(F.array().cast(_SPANS))
 
 
@@ -164,7 +187,7 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, path
     findings = (
         spark.read.parquet(ledger)
         .filter(F.size("spans") > 0)
-        .select("blob", F.explode(F.array_distinct("spans")).alias("span"))
+        .select("blob", F.explode("spans").alias("span"))
         .withColumn("ord", F.array_position(every, F.col("span.rule")).cast("int"))
         .filter("ord > 0")
         .groupBy("blob")

@@ -45,3 +45,11 @@ def test_only_unseen_blobs_and_changed_rules_are_scanned(spark):
     assert got == {3: 2, 4: 1}
     last = spark.read.parquet(ledger).filter("size(rules) = 1")
     assert last.count() == 2 and last.first()["rules"] == [changed[2].version]
+
+
+def test_places_in_a_text_of_many_matches(spark):
+    text = " é ".join(f"token={'k' * (3 + i % 7)}{i} {i:024x}" for i in range(3000)) + " 😀"
+    docs = edge.plain(spark, [(1, text, None, None, 0), (2, "x" * 10, None, None, 0)])
+    out = secrets.digest(secrets.scan(docs, _store.fresh_path(spark, "ledger")))
+    got = {r["doc_id"]: (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"], r["spans"]) for r in out.collect()}
+    assert got == {1: brute(text), 2: brute("x" * 10)}

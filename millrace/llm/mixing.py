@@ -12,6 +12,11 @@ every lane has exactly its target, so the order of one period, found by
 earliest deadline first on as many steps as the period has slots, repeats for
 ever: where a document goes is then arithmetic on its rank in its lane.
 
+A lane without any document takes no part: the shares of the others make up the
+period, so each keeps its proportion to the others from the first slot to the
+last on target. Only op4_source_mixing holds the slots of such lanes, as its
+oracle SQL does.
+
 Lanes run out. The mix is on target until the first lane does; from there its
 slots are skipped and the other lanes go on in order, so no document is dropped
 or repeated, and `on_target` tells the two parts apart.
@@ -65,22 +70,25 @@ def schedule(shares: dict[str, int]) -> list[tuple[str, int]]:
     return out
 
 
-def placed(docs: DataFrame, shares: dict[str, int] = TARGET, block_docs: int = BLOCK_DOCS, bucket_rows: int = 20_000) -> DataFrame:
+def placed(docs: DataFrame, shares: dict[str, int] = TARGET, block_docs: int = BLOCK_DOCS, bucket_rows: int = 20_000, held: bool = False) -> DataFrame:
     """Column _row, a struct of each row of docs, and ADDED; `position` is the place in the mix, from 0.
 
     `shares` must hold whole numbers over 0; its sum, the period, and its lanes
-    bound what the driver plans. doc_id, source and n_chars are read.
+    bound what the driver plans. doc_id, source and n_chars are read. Lanes
+    without documents are left out of the shares, unless their slots are `held`.
     """
     spark = docs.sparkSession
     if REST not in shares:
         shares = shares | {REST: 1}
-    period, plan, lanes = sum(shares.values()), schedule(shares), sorted(shares)
-    named = [x for x in lanes if x != REST]
+    named = [x for x in sorted(shares) if x != REST]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "source", "n_chars")
     laned = rows.withColumn(
         "lane", F.when(F.col("source").isin(named), F.col("source")).otherwise(F.lit(REST))
     ).withColumn("_digest", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sizes = {lane: 0 for lane in lanes} | {r["lane"]: r["n"] for r in laned.groupBy("lane").agg(F.count("*").alias("n")).collect()}
+    sizes = dict.fromkeys(shares, 0) | {r["lane"]: r["n"] for r in laned.groupBy("lane").agg(F.count("*").alias("n")).collect()}
+    if any(sizes.values()) and not held:
+        shares = {x: share for x, share in shares.items() if sizes[x]}
+    period, plan, lanes = sum(shares.values()), schedule(shares), sorted(shares)
     digits = max(1, math.ceil(math.log(max(1, sum(sizes.values()) / bucket_rows), 16)))
     ranked = _ranks.numbered(
         laned,
@@ -128,10 +136,10 @@ def placed(docs: DataFrame, shares: dict[str, int] = TARGET, block_docs: int = B
     )
 
 
-def mix(docs: DataFrame, shares: dict[str, int] = TARGET, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def mix(docs: DataFrame, shares: dict[str, int] = TARGET, block_docs: int = BLOCK_DOCS, held: bool = False) -> DataFrame:
     """The columns of docs, and those of ADDED."""
     own = [F.col(f"_row.`{c}`") for c in docs.columns if c.lower() not in ADDED]
-    return placed(docs, shares, block_docs).select(*own, *ADDED)
+    return placed(docs, shares, block_docs, held=held).select(*own, *ADDED)
 
 
 def mixed(docs: DataFrame, shares: dict[str, int] = TARGET, block_docs: int = BLOCK_DOCS) -> DataFrame:
@@ -141,7 +149,7 @@ def mixed(docs: DataFrame, shares: dict[str, int] = TARGET, block_docs: int = BL
 
 def op4_source_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "n_chars")
-    return mix(docs).drop("n_chars")
+    return mix(docs, held=True).drop("n_chars")  # as the oracle SQL
 
 
 def _oracle() -> str:

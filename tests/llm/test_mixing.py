@@ -42,6 +42,20 @@ def test_mix_is_whole_and_on_target(spark):
     assert all(len(x) == 1 for x in by_slot.values())
 
 
+def test_lanes_without_documents_take_no_slots(spark):
+    shares, size = {"a": 6, "b": 3, "gone": 4, mixing.REST: 2}, 4
+    out = mixing.mix(rows(spark, 900, ["a", "a", "b"]), shares, size).orderBy("position").collect()
+    assert [r["position"] for r in out] == list(range(900)) and [r["slot"] for r in out] == [k // size for k in range(900)]
+    taken = Counter()
+    for r in out:
+        assert r["on_target"] and r["release"] <= r["slot"] < r["deadline"]
+        taken[r["lane"]] += 1
+        for lane, share in {"a": 6, "b": 3}.items():
+            assert abs(taken[lane] - (r["position"] + 1) * share / 9) < 2 * size
+    given = mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert given.filter("on_target").count() > 100 * mixing.BLOCK_DOCS / 10
+
+
 def test_buckets_do_not_change_the_order(spark):
     docs = rows(spark, 700, ["a", "b"])
     order = lambda b: [r["doc_id"] for r in mixing.placed(docs, {"a": 1, "b": 1}, 4, b).select("_row.doc_id", "position").orderBy("position").collect()]

@@ -8,12 +8,19 @@ folder. All but the last return the columns of documents:
 3. near-dedup: of each SimHash component, one document stays;
 4. mix: documents are laid out in the order of the mix to target weights; the
    stage drops and repeats none;
-5. tokens: doc_id, source, n_ids, ids and round_trip, in that order.
+5. tokens: doc_id, source, n_ids, ids and round_trip, laid out in the order of
+   the mix again.
+
+The order of a laid-out table is that of its part files' numbers, and of the
+rows in a file. Spark's scan deals files by length and so reads them in another
+order; in_order() puts rows back, and any consecutive files are a stretch of the
+mix.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.llm import _store, exact_dedup, mixing, pieces, quality, simhash
 
@@ -34,8 +41,16 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
+def in_order(laid: DataFrame, *columns: str) -> DataFrame:
+    """Columns of a table read from files, in the order in which they were written: partitions in order, and rows in order within them."""
+    name = F.col("_metadata.file_name")
+    places = {"_part": F.regexp_extract(name, r"^part-(\d+)", 1).cast("bigint"), "_file": name, "_at": F.col("_metadata.row_index")}
+    rows = laid.select(*columns, *[place.alias(k) for k, place in places.items()])
+    return rows.repartitionByRange(*places).sortWithinPartitions(*places).select(*columns)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encoded(docs, keep=("doc_id", "source"))
+    return pieces.encoded(in_order(docs, "doc_id", "source", "text"), keep=("doc_id", "source"))
 
 
 STAGES = [

@@ -36,6 +36,30 @@ def test_stages_and_the_order_of_the_mix(spark):
     assert [r["doc_id"] for r in names.collect()] == want
 
 
+def in_files(table):
+    place = F.struct(F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("k"))
+    return table.select("doc_id", place.alias("place")).orderBy("place").collect()
+
+
+def test_tokens_of_several_files_keep_the_order_of_the_mix(spark, monkeypatch):
+    made = {}
+    keep = lambda df, label: made.setdefault(label, materialise(df, label))
+    materialise = _store.materialise
+    monkeypatch.setattr(corpus_pipeline._store, "materialise", keep)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        out = corpus_pipeline.run(spark, "/root/testdata/sf0.01")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    laid, got = in_files(made["pipeline-source_mixing"]), in_files(out)
+    assert len({r["place"]["f"] for r in laid}) > 1 and len({r["place"]["f"] for r in got}) > 1
+    assert [r["doc_id"] for r in got] == [r["doc_id"] for r in laid]
+    before = made["pipeline-simhash_near_dedup"]
+    assert [r["doc_id"] for r in got] == [r["doc_id"] for r in mixing.mix(before).orderBy("position").collect()]
+
+
 def test_awkward_documents_pass_all_stages(spark):
     docs, _ = edge.documents(spark)
     columns = docs.columns

@@ -7,9 +7,12 @@ path into words, and a multinomial naive Bayes over the words of both decides.
 
 The unigram model and the classifier are trained here, from a seed list of
 labelled URLs and from word counts over all given URLs: alphabetic runs that a
-separator bounds on both sides are known words. The lexicon keeps words seen
-`least` times or more, at most `lexicon` of them, the commonest first: that is
-the size of the model, and its documented bound.
+separator bounds on both sides are known words. The lexicon has every word seen
+`least` times or more, however many. It is a table in the shared folder and never
+at one place: each distinct run of letters meets those words of it that stand in
+the run, and is split by them once. Only words of at most SHORT letters, which the
+alphabet bounds, are held everywhere, as they stand in very many runs. Pages are
+dealt in blocks, so a run that most URLs have meets each block once.
 
 Defined results: a null url, or one without ://, has an empty host and path, no
 rule, and is judged by the classifier's prior; a null page_id passes through;
@@ -19,6 +22,7 @@ are ignored, so their names cannot clash. URLs of any length are judged whole.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -30,6 +34,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm import _store
+
+#: Words of so many letters: at most 26 + 26^2 + 26^3.
+SHORT = 3
+BLOCK_PAGES = 2048
 
 @dataclass(frozen=True)
 class UrlRule:
@@ -110,11 +119,12 @@ class Segmenter:
 
     A word of the lexicon costs minus the logarithm of its share. Any other
     word costs as an unknown one, and more for each letter: Laplace smoothing
-    over a uniform spelling of 26 letters.
+    over a uniform spelling of 26 letters. `words` may be those words only that
+    stand in the runs to split, if the `total` of the whole lexicon is given.
     """
 
-    def __init__(self, words: dict[str, int]):
-        self.total = sum(words.values()) + 1
+    def __init__(self, words: dict[str, int], total: int | None = None):
+        self.total = total or sum(words.values()) + 1
         self.cost = {w: -math.log(n / self.total) for w, n in words.items()}
         self.longest = max((len(w) for w in words), default=1)
         self.split = lru_cache(1 << 16)(self._split)
@@ -165,8 +175,8 @@ class Bayes:
         return self.prior + sum(self.weight.get(w, 0.0) for w in words)
 
 
-def lexicon(pages: DataFrame, least: int = 3, size: int = 20_000) -> dict[str, int]:
-    """Words and counts: of the seeds, and the commonest `size` runs of all URLs that stand `least` times or more."""
+def counts(pages: DataFrame, least: int = 3) -> DataFrame:
+    """word and n: words of the seeds, and all runs of all URLs that stand `least` times or more."""
     spread = pages.select(
         F.explode(
             F.regexp_extract_all(
@@ -176,43 +186,102 @@ def lexicon(pages: DataFrame, least: int = 3, size: int = 20_000) -> dict[str, i
             )
         ).alias("word")
     )
-    common = spread.groupBy("word").count().filter(f"count >= {least}").orderBy(F.desc("count"), "word").limit(size)
-    words = Counter({r["word"]: r["count"] for r in common.collect()})
+    common = spread.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    seeds: Counter = Counter()
     for url, _ in SEEDS:
-        words.update({w: least for w in runs(url)})
-    return dict(words)
+        seeds.update({w: least for w in runs(url)})
+    told = json.dumps([{"word": w, "n": n} for w, n in seeds.items()])
+    seeded = pages.sparkSession.range(1).select(F.inline(F.from_json(F.lit(told), "array<struct<word:string,n:bigint>>")))
+    return common.unionByName(seeded).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def judge(pages: DataFrame, rules: Iterable[UrlRule] = RULES, least: int = 3, size: int = 20_000) -> DataFrame:
-    """Per row: page_id, host, path, rule, verdict, words (space-joined), score (log odds of block)."""
-    segmenter = Segmenter(lexicon(pages, least, size))
-    bayes = Bayes(([w for run in runs(url) for w in segmenter.split(run)], verdict) for url, verdict in SEEDS)
-    cost, longest, total = segmenter.cost, segmenter.longest, segmenter.total
+def lexicon(pages: DataFrame, least: int = 3) -> dict[str, int]:
+    """All of counts() at one place, for small tables; judge() does not use it."""
+    return {r["word"]: r["n"] for r in counts(pages, least).collect()}
+
+
+def within(run: str, lengths: Iterable[int]) -> Iterator[str]:
+    """The distinct parts of a run that have one of these lengths."""
+    for n in lengths:
+        yield from {run[k : k + n] for k in range(len(run) - n + 1)}
+
+
+def segmented(found: DataFrame, known: DataFrame, short: dict[str, int], lengths: list[int], total: int) -> DataFrame:
+    """run and words: each distinct run, split by all words of the lexicon; `known` has its words of over SHORT letters, of these `lengths`."""
+
+    def parts(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, words, size = [], [], 0
+        for batch in source:
+            for key, run in zip(batch.column("key").to_pylist(), batch.column("run").to_pylist()):
+                for word in within(run, lengths):
+                    keys.append(key)
+                    words.append(word)
+                    size += 32 + len(word)
+                    if size > 1 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(words, pa.string())], ["key", "word"])
+                        keys, words, size = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(words, pa.string())], ["key", "word"])
+
+    def split(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            out = []
+            for run, met in zip(batch.column("run").to_pylist(), batch.column("met").to_pylist()):
+                words = {w: short[w] for w in within(run, range(1, SHORT + 1)) if w in short}
+                words |= {x["word"]: x["n"] for x in met or ()}
+                out.append(Segmenter(words, total)._split(run))
+            yield pa.RecordBatch.from_arrays([batch.column("run"), pa.array(out, pa.list_(pa.string()))], ["run", "words"])
+
+    runs_once = found.select("run").distinct().withColumn("key", F.md5("run"))
+    met = (
+        runs_once.mapInArrow(parts, "key string, word string").join(known, "word")
+        .groupBy("key").agg(F.collect_list(F.struct("word", "n")).alias("met"))
+    )
+    return runs_once.join(met, "key", "left").select("run", "met").mapInArrow(split, "run string, words array<string>")
+
 
-    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Segmenter({})
-        splitter.cost, splitter.longest, splitter.total = cost, longest, total
+def judge(pages: DataFrame, rules: Iterable[UrlRule] = RULES, least: int = 3) -> DataFrame:
+    """Per row: page_id, host, path, rule, verdict, words (space-joined), score (log odds of block)."""
+    place = F.monotonically_increasing_id()
+    blocked = _store.materialise(pages.select("page_id", "url", F.floor(place / BLOCK_PAGES).alias("block")), "urls")
+    known = _store.materialise(counts(blocked, least), "lexicon")
+    size = F.length("word")
+    shape = known.agg(F.sum("n").alias("n"), F.collect_set(F.when(size > SHORT, size)).alias("lengths")).first()
+    total, lengths = shape["n"] + 1, sorted(shape["lengths"])
+    short = {r["word"]: r["n"] for r in known.filter(size <= SHORT).collect()}
+    longer = known.filter(size > SHORT)
+    sought = {w for url, _ in SEEDS for run in runs(url) for w in within(run, lengths)}
+    seeding = Segmenter(short | {r["word"]: r["n"] for r in longer.filter(F.col("word").isin(sorted(sought))).collect()}, total)
+    bayes = Bayes(([w for run in runs(url) for w in seeding.split(run)], verdict) for url, verdict in SEEDS)
+
+    def runs_in(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            words = [
-                [w for run in runs(url or "") for w in splitter.split(run)] for url in batch.column("url").to_pylist()
-            ]
+            pairs = {(b, run) for b, url in zip(batch.column("block").to_pylist(), batch.column("url").to_pylist()) for run in runs(url or "")}
             yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(c) for c in ("page_id", "host", "path", "rule", "ruled")],
-                    pa.array([" ".join(x) for x in words]),
-                    pa.array([bayes.score(x) for x in words], pa.float64()),
-                ],
-                ["page_id", "host", "path", "rule", "ruled", "words", "score"],
+                [pa.array([b for b, _ in pairs], pa.int64()), pa.array([x for _, x in pairs], pa.string())], ["block", "run"]
             )
 
-    found = (
-        pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    def scored(rows: pa.Table, words_of: pa.Table) -> pa.Table:
+        split = dict(zip(words_of.column("run").to_pylist(), words_of.column("words").to_pylist()))
+        words = [[w for run in runs(url or "") for w in split[run]] for url in rows.column("url").to_pylist()]
+        return pa.table(
+            [
+                *[rows.column(c) for c in ("page_id", "host", "path", "rule", "ruled")],
+                pa.array([" ".join(x) for x in words], pa.string()),
+                pa.array([bayes.score(x) for x in words], pa.float64()),
+            ],
+            ["page_id", "host", "path", "rule", "ruled", "words", "score"],
+        )
+
+    found = _store.materialise(blocked.select("block", "url").mapInArrow(runs_in, "block bigint, run string").distinct(), "runs")
+    split_runs = found.join(segmented(found, longer, short, lengths, total), "run")
+    ruled = (
+        blocked.select("block", "page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
         .withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
-        .select("page_id", "url", "host", "path", F.col("_rule.name").alias("rule"), F.col("_rule.verdict").alias("ruled"))
+        .select("block", "page_id", "url", "host", "path", F.col("_rule.name").alias("rule"), F.col("_rule.verdict").alias("ruled"))
     )
     kind = dict(pages.dtypes)["page_id"]
-    return found.mapInArrow(
-        batches, f"page_id {kind}, host string, path string, rule string, ruled string, words string, score double"
+    return ruled.groupBy("block").cogroup(split_runs.groupBy("block")).applyInArrow(
+        scored, f"page_id {kind}, host string, path string, rule string, ruled string, words string, score double"
     ).select(
         "page_id", "host", "path", "rule",
         F.coalesce("ruled", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"),

@@ -79,6 +79,21 @@ def test_every_url_of_the_table_as_plain_code(spark):
             assert r["verdict"] == ("block" if score > 0 else "allow")
 
 
+def test_words_past_the_commonest_20_000_are_known(spark):
+    many = ["".join(x) for x in itertools.islice(itertools.product("jkqvxz", repeat=6), 20_500)]
+    rows = [f"http://a.x/{'/'.join(many)}"] * 4 + ["http://b.x/bets"] * 3 + ["http://freebets.com/", "http://www.freebets.com/betsbets", None]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = {r["page_id"]: r for r in urls.judge(pages).collect()}
+    assert len(got) == len(rows) and got[7]["words"] == "free bets" and got[8]["words"].endswith("free bets bets bets")
+    words = urls.lexicon(pages)
+    s = urls.Segmenter(words)
+    b = urls.Bayes(([w for run in urls.runs(u) for w in s.split(run)], v) for u, v in urls.SEEDS)
+    assert len(words) > 20_500
+    for k, url in enumerate(rows):
+        split = [w for run in urls.runs(url or "") for w in s.split(run)]
+        assert got[k]["words"] == " ".join(split) and math.isclose(got[k]["score"], b.score(split), abs_tol=1e-9)
+
+
 def test_no_host_of_the_table_is_cut_wrongly(spark):
     out = urls.judge(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).filter("rule IS NULL")
     blocked = {r[0] for r in out.filter("verdict = 'block'").select(F.regexp_extract("host", r"([a-z0-9-]+)\.example", 1)).distinct().collect()}

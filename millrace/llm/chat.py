@@ -1,11 +1,15 @@
 r"""Chat formatting with quotation linking.
 
-A message's lines carry a quote level: how many > they begin with. Every
-quoted line is normalised (marks off, lower case, one space between words) and
-hashed; so is every line that a message says itself. A quoted line links to the
-latest earlier message of its conversation that says it itself. A message
-replies to the message that its outermost linked quotes come from, the latest if
-they come from several; without a linked quote, to the message before it. The
+A message's lines carry a quote level: how many > they begin with. Every line is
+normalised (marks off, lower case, one space between words). Consecutive lines of
+one level, up to one without words, are a passage: joined by a space, so that it
+does not matter where lines are wrapped. Passages, their sentences and their
+lines are hashed, of what a message quotes and of what it says itself alike. A
+quoted part links to the latest earlier message of its conversation that says it
+itself. Where a passage links, its sentences and lines do not count.
+A message
+replies to the message that its outermost linked quotes come from; of several,
+whole passages go before parts of them, and then the latest message; without a linked quote, to the message before it. The
 conversation is then given without quotes, each message once, in reply order:
 parents come before replies, which the order of turns ensures.
 
@@ -31,6 +35,7 @@ from pyspark.sql import functions as F
 from millrace.llm import _ranks, _store
 
 MARKS = r"^[ \t]*(?:>[ \t]?)+"
+SENTENCE_END = "(?<=[.!?]) "
 #: A line that only announces a quote.
 ANNOUNCES = r"(?i)^.{0,200}\bwrote:[ \t]*$"
 
@@ -51,6 +56,31 @@ def _lines(text: Column) -> Column:
     )
 
 
+def passages(text: Column) -> Column:
+    """Array of structs of each passage: level, whole (its text), sentences, lines."""
+    lines = _lines(text)
+    before = F.concat(
+        F.array(F.struct(F.lit(-1).alias("level"), F.lit("").alias("said"), F.lit("").alias("line"))), F.slice(lines, 1, F.size(lines) - 1)
+    )
+    # Normalised lines have neither line ends nor form feeds.
+    marked = F.transform(
+        F.arrays_zip(lines.alias("x"), before.alias("y")),
+        lambda z: F.when(
+            (z["x"]["level"] == z["y"]["level"]) & (z["x"]["said"] != "") & (z["y"]["said"] != ""), F.concat(F.lit("\n"), z["x"]["said"])
+        ).otherwise(F.concat(F.lit("\f"), z["x"]["level"].cast("string"), F.lit("\n"), z["x"]["said"])),
+    )
+    cut = F.transform(F.filter(F.split(F.array_join(marked, ""), "\f"), lambda p: p.rlike("(?s)\n.")), lambda p: F.split(p, "\n", 2))
+    return F.transform(
+        cut,
+        lambda p: F.struct(
+            p[0].cast("int").alias("level"),
+            F.translate(p[1], "\n", " ").alias("whole"),
+            F.split(F.translate(p[1], "\n", " "), SENTENCE_END).alias("sentences"),
+            F.split(p[1], "\n").alias("lines"),
+        ),
+    )
+
+
 def laid_out(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, text, position (from 0 in its conversation), piece (never falls with position)."""
     read = messages.select(
@@ -65,26 +95,38 @@ def laid_out(messages: DataFrame) -> DataFrame:
 
 
 def linked(laid: DataFrame) -> DataFrame:
-    """Per quoted line that links: conv_id, position, level, original (position of the message that said it)."""
+    """Per quoted part that links: conv_id, position, level, passage, kind, n_lines, original (position of the message that said it)."""
     quoting = laid.filter(F.col("text").contains(">"))
+    part = lambda kind, n: lambda x: F.struct(F.lit(kind).alias("kind"), n.alias("n_lines"), x.alias("said"))
+    # A single line or sentence is its passage.
+    several = lambda x: F.when(F.size(x) > 1, x).otherwise(F.array().cast("array<string>"))
     quotes = (
-        quoting.select("conv_id", "position", "piece", F.explode(_lines(F.col("text"))).alias("x"))
-        .filter("x.level > 0 AND x.said != ''")
-        .select("conv_id", "position", "piece", F.col("x.level").alias("level"), F.md5("x.said").alias("hash"))
-    )
+        quoting.select("conv_id", "position", "piece", F.posexplode(passages(F.col("text"))).alias("passage", "x"))
+        .filter("x.level > 0")
+        .select(
+            "conv_id", "position", "piece", F.col("x.level").alias("level"), "passage",
+            F.explode(F.concat(
+                F.array(part("whole", F.size("x.lines"))(F.col("x.whole"))),
+                F.transform(several(F.col("x.sentences")), part("sentence", F.lit(1))),
+                F.transform(several(F.col("x.lines")), part("line", F.lit(1))),
+            )).alias("u"),
+        )
+        .select("conv_id", "position", "piece", "level", "passage", "u.kind", "u.n_lines", F.md5("u.said").alias("hash"))
+    )
     wanted = quotes.select(F.col("conv_id").alias("_c"), F.col("hash").alias("_h")).distinct()
     talks = quotes.select(F.col("conv_id").alias("_c")).distinct()
     said = (
         laid.join(talks, F.col("conv_id").eqNullSafe(F.col("_c")), "left_semi")
-        .select("conv_id", "position", "piece", F.explode(_lines(F.col("text"))).alias("x"))
-        .filter("x.level = 0 AND x.said != ''")
-        .select("conv_id", "position", "piece", F.md5("x.said").alias("hash"))
+        .select("conv_id", "position", "piece", F.explode(passages(F.col("text"))).alias("x"))
+        .filter("x.level = 0")
+        .select("conv_id", "position", "piece", F.explode(F.concat(F.array("x.whole"), "x.sentences", "x.lines")).alias("said"))
+        .select("conv_id", "position", "piece", F.md5("said").alias("hash"))
         .distinct()
         .join(wanted, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("hash") == F.col("_h")), "left_semi")
     )
     # A quote comes before what its own message says, so it cannot link to itself.
     order = quotes.withColumn("said_at", F.lit(None).cast("bigint")).unionByName(
-        said.withColumn("level", F.lit(None).cast("int")).withColumn("said_at", F.col("position"))
+        said.withColumn("said_at", F.col("position")), allowMissingColumns=True
     )
     keys = ["conv_id", "hash"]
     pieces = order.groupBy(*keys, "piece").agg(F.max("said_at").alias("latest"))
@@ -99,7 +141,8 @@ def linked(laid: DataFrame) -> DataFrame:
     same = F.col("conv_id").eqNullSafe(F.col("_conv_id")) & (F.col("hash") == F.col("_hash")) & (F.col("piece") == F.col("_piece"))
     return (
         order.withColumn("here", F.max("said_at").over(within)).filter("level IS NOT NULL").join(earlier, same)
-        .select("conv_id", "position", "level", F.coalesce("here", "before").alias("original")).filter("original IS NOT NULL")
+        .select("conv_id", "position", "level", "passage", "kind", "n_lines", F.coalesce("here", "before").alias("original"))
+        .filter("original IS NOT NULL")
     )
 
 
@@ -120,11 +163,23 @@ def conversations(messages: DataFrame) -> DataFrame:
     """Per message: conv_id, turn, role, position, parent, level, n_linked, text without quotes, formatted.
 
     parent: position of the message it replies to, null for the first; level: of
-    the quotes that show it, null if no quote does.
+    the quotes that show it, null if no quote does; n_linked: quoted lines of the
+    passages that link, and of other passages the lines, or else the sentences, that
+    link by themselves. Rows and positions are by turns, which parents precede in.
     """
     laid = _store.materialise(laid_out(messages), "laid")
-    by_level = linked(laid).groupBy("conv_id", "position", "level").agg(
-        F.max("original").alias("original"), F.count("*").alias("n")
+    of = lambda kind, x: F.when(F.col("kind") == kind, x)
+    original = F.col("original")
+    by_passage = linked(laid).groupBy("conv_id", "position", "level", "passage").agg(
+        F.max(of("whole", original)).alias("whole"),
+        F.max(original).alias("latest"),
+        F.max(of("whole", F.col("n_lines"))).alias("all"),
+        F.count(of("line", original)).alias("lines"),
+        F.count(of("sentence", original)).alias("sentences"),
+    )
+    by_level = by_passage.groupBy("conv_id", "position", "level").agg(
+        F.coalesce(F.max("whole"), F.max("latest")).alias("original"),
+        F.sum(F.coalesce("all", F.when(F.col("lines") > 0, F.col("lines")).otherwise(F.col("sentences")))).alias("n"),
     )
     found = by_level.groupBy(F.col("conv_id").alias("_c"), F.col("position").alias("_p")).agg(
         F.min(F.struct("level", "original")).alias("first"), F.sum("n").alias("n_linked")

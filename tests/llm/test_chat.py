@@ -71,5 +71,26 @@ def test_a_long_conversation_over_many_pieces_as_plain_code(spark):
     assert {r["turn"]: r["parent"] for r in out} == want and [r["position"] == r["turn"] for r in out].count(False) == 0
 
 
+def test_passages_and_sentences_link_however_they_are_wrapped(spark):
+    rows = [
+        (1, 0, "user", "The bones lie in the\nupper layer. We dig there next week.\n\nThanks"),
+        (1, 1, "user", "Bring a map. Also bring water! Who drives?"),
+        (1, 2, "user", "Thanks"),
+        (1, 3, "user", "> The bones lie in\n> the upper layer. We dig there\n> next week.\nGood"),
+        (1, 4, "user", "> Also bring water!\nYes"),
+        (1, 5, "user", ">> bring a map.   Also\n>> bring WATER!\nBoth"),
+        (1, 6, "user", "> Thanks\n\n> Bring a map. Also bring\n> water! Who drives?\nMe"),
+        (1, 7, "user", "> The bones lie in the\n> upper layer. We never\n> dig there.\nWhy"),
+        (1, 8, "user", "> The bones lie in the upper\nlayer.\nCut"),
+        (2, 0, "user", "Alpha part one. Beta.\nThanks"),
+        (2, 1, "user", "Thanks"),
+        (2, 2, "user", "> Alpha part\n> one. Beta.\n> Thanks\nok"),
+    ]
+    got = {(r["conv_id"], r["position"]): (r["parent"], r["level"], r["n_linked"], r["text"]) for r in chat.conversations(frame(spark, rows)).collect()}
+    assert got[1, 3] == (0, 1, 3, "Good") and got[1, 4] == (1, 1, 1, "Yes") and got[1, 5] == (1, 2, 2, "Both")
+    assert got[1, 6][:3] == (2, 1, 3) and got[1, 7] == (0, 1, 1, "Why") and got[1, 8][0] == 7
+    assert got[2, 2] == (0, 1, 3, "ok")
+
+
 def test_empty_table(spark):
     assert chat.conversations(frame(spark, MESSAGES).limit(0)).count() == 0

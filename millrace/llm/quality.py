@@ -122,7 +122,8 @@ RULES = (
     Rule("shouting", "n_shouts > 0.2 * n_words", "false"),
     Rule("copied_lines", "n_dup_lines > 0.5 * n_lines AND n_lines >= 4", "false"),
     Rule("word_length", "word_chars > 15 * n_words OR word_chars < 2 * n_words", "false"),
-    Rule("variety", "n_distinct < 0.1 * n_words AND n_words < 2000", "false"),
+    # From 2,000 words on as the root of the length: vocabularies grow more slowly than texts.
+    Rule("variety", "n_distinct < least(0.1 * n_words, sqrt(20.0 * n_words))", "false"),
     Rule("digits", "n_digits > 0.3 * word_chars", "false"),
     Rule("prose_surface", "false", "n_symbols <= 0.1 * n_words AND n_shouts <= 0.05 * n_words AND n_words > 0"),
     Rule("prose_words", "false", "4 * n_upper < n_lower AND word_chars BETWEEN 3 * n_words AND 10 * n_words AND n_repeat_words <= 0.3 * n_words"),

@@ -69,3 +69,13 @@ def test_filtered_gives_the_kept_rows_whole(spark):
     out = quality.filtered(docs)
     assert out.columns == docs.columns
     assert sorted(repr(r["doc_id"]) for r in out.collect()) == sorted(repr(r["doc_id"]) for r in quality.judge(docs).filter("kept").collect())
+
+
+def test_few_distinct_words_are_seen_at_any_length(spark):
+    r = np.random.default_rng(2)
+    few = lambda n, kinds: " ".join(f"w{i}" for i in r.permutation(np.arange(n) % kinds))
+    sizes = [(1000, 90), (1000, 110), (1999, 190), (2000, 190), (2000, 210), (8000, 390), (8000, 410), (50_000, 900), (50_000, 1100)]
+    docs = edge.plain(spark, [(k, few(*x), "en", "s", 1) for k, x in enumerate(sizes)])
+    rule = next(x for x in quality.RULES if x.name == "variety")
+    got = {x["doc_id"]: x["v"] for x in quality.judge(docs).select("doc_id", rule.vote.alias("v")).collect()}
+    assert [got[k] == quality.BAD for k in range(len(sizes))] == [True, False, True, True, False, True, False, True, False]

@@ -151,17 +151,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) ->
 
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with one document of each component, the one its id names, with all columns.
+    """docs with one row of each component, with all columns.
 
-    Documents without a doc_id cannot be told apart: a component of such alone stays whole.
+    It is the row of the least doc_id, nulls last, then of the least digest of its
+    text; of rows equal in both, the least row.
     """
-    stay = near_duplicates(docs, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+    stay = near_duplicates(docs.select(key.alias("doc_id"), "text"), radius).filter("doc_id = component_id")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key.alias("_doc"))
     return rows.join(
-        stay.select(F.col("doc_id").alias("_id")).distinct().hint("shuffle_hash"),
-        F.col("_doc").eqNullSafe(F.col("_id")),
-        "left_semi",
-    ).select("_row.*")
+        stay.select(F.col("doc_id").alias("_id")).distinct().hint("shuffle_hash"), F.col("_doc") == F.col("_id"), "left_semi"
+    ).groupBy("_doc").agg(F.min("_row").alias("_row")).select("_row.*")
 
 
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

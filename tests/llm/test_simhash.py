@@ -68,3 +68,13 @@ def test_deduplicated_keeps_one_document_of_each_component(spark):
     assert out.columns == docs.columns
     ids = {r["component_id"] for r in simhash.near_duplicates(docs).collect()}
     assert {r["doc_id"] for r in out.collect()} == ids
+
+
+def test_deduplicated_keeps_one_row_where_ids_are_null_or_repeated(spark):
+    a, b, c = (edge.words(k, 300) for k in (31, 32, 33))
+    rows = [(None, a), (None, a + " "), (None, a.upper()), (4, b), (4, b + " "), (4, b), (4, c), (3, c + " "), (None, c)]
+    docs = edge.plain(spark, [(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)])
+    out = simhash.deduplicated(docs).collect()
+    parts = {x: {fingerprint(t) for _, t in rows if t.strip().lower() == x} for x in (a, b, c)}
+    assert all(len(x) == 1 for x in parts.values())
+    assert sorted((r["doc_id"] or 0, r["text"].strip().lower()) for r in out) == sorted([(0, a), (4, b), (3, c)])

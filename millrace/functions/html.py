@@ -37,10 +37,9 @@ def decode_entities(value: Column) -> Column:
 
 
 def stripped(html: Column, policy: Policy) -> Column:
-    """HTML without comments and the subtrees of the dropped tags."""
-    for tag in policy.dropped_tags:
-        html = F.regexp_replace(html, subtree(tag), "\n")
-    return F.regexp_replace(html, COMMENT, "")
+    """HTML without comments and the subtrees of the dropped tags, the outer of nested ones first, in one pass."""
+    tags = "|".join(policy.dropped_tags)
+    return F.regexp_replace(F.regexp_replace(html, rf"(?is)<({tags})\b[^>]*+>.*?</\1\s*+>", "\n"), COMMENT, "")
 
 
 def main_text(html: Column, policy: Policy) -> Column:

@@ -11,22 +11,35 @@ from millrace.config import EngineConfig, Policy
 SPACES = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: White space that does not end a line.
 INLINE = r"[ \t\x1f\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
+_EDGE = INLINE[:-1] + r"\n]"
 #: Cleaning steps in order: pattern and replacement.
 CLEANING = (
     (r"\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]", "\n"),
     (r"[ \t]+", " "),
     (rf"{INLINE}*\n{INLINE}*", "\n"),
     (r"\n{3,}", "\n\n"),
-    (rf"\A(?:{INLINE}|\n)+|(?:{INLINE}|\n)+\z", ""),
+    (rf"\A{_EDGE}+|{_EDGE}+\z", ""),
 )
+#: The same steps for an engine that backtracks: no loop takes the stack, and a run
+#: of white space is tried from its first character only, so any text takes linear time.
+_LINEAR_CLEANING = (
+    *CLEANING[:2],
+    (rf"(?<!{INLINE}){INLINE}++(?=\n)", ""),
+    (rf"(?<=\n){INLINE}++", ""),
+    CLEANING[3],
+    (rf"\A{_EDGE}++|(?<!{_EDGE}){_EDGE}++\z", ""),
+)
+# The tokens that topics and statistics count.
 TOPIC_TOKEN = r"[a-z]+(?:-[a-z]+)?"
 STATS_TOKEN = "[a-záéíóúüñ]+(?:[-'][a-záéíóúüñ]+)*"
+#: STATS_TOKEN with loops that do not take the stack.
+_LINEAR_STATS_TOKEN = "[a-záéíóúüñ]++(?:[-'][a-záéíóúüñ]++)*+"
 WORD = rf"[^{SPACES}]+"
 
 
 def clean(text: Column) -> Column:
     """Normalised text: one space inside lines, trimmed lines, at most one blank line in a row."""
-    for pattern, replacement in CLEANING:
+    for pattern, replacement in _LINEAR_CLEANING:
         text = F.regexp_replace(text, pattern, replacement)
     return text
 
@@ -37,7 +50,7 @@ def byte_length(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Runs of characters that are no Unicode white space; null counts none."""
-    return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), F.lit(0))
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0))
 
 
 def sha256(text: Column) -> Column:
@@ -68,13 +81,13 @@ def language(declared: Column, tokens: Column, config: EngineConfig) -> Column:
     guessed = F.when(
         (F.size(first) >= config.language_min_tokens) & (functional / F.size(first) > config.language_share), "en"
     ).otherwise("xx")
-    code = F.substring(F.split(F.lower(F.regexp_replace(declared, rf"^[{SPACES}]+|[{SPACES}]+$", "")), "-")[0], 1, 2)
+    code = F.substring(F.split(F.lower(F.regexp_replace(declared, rf"\A[{SPACES}]++|(?<![{SPACES}])[{SPACES}]++\z", "")), "-")[0], 1, 2)
     return F.when(F.coalesce(declared, F.lit("")) != "", code).otherwise(guessed)
 
 
 def stats_tokens(text: Column) -> Column:
     """Words for corpus statistics: letters with Spanish accents, joined by any number of hyphens and apostrophes."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"(?iu){STATS_TOKEN}"), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"(?iu){_LINEAR_STATS_TOKEN}"), F.lit(0))
 
 
 def content_type(header: Column) -> Column:

@@ -29,10 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm import _components, _store
+from millrace.llm import _components, _hot, _ranks, _store
 from millrace.llm._arrow import slices
 
 RADIUS = 3
@@ -102,9 +102,11 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
         F.expr("bit_count(fp)").cast("int").alias("ones"),
         F.explode(F.sequence(F.lit(0), F.lit(radius))).alias("band"),
     ).withColumn("value", F.expr(f"shiftrightunsigned(fp, {width} * band) & {(1 << width) - 1}L"))
-    place = F.row_number().over(Window.partitionBy("band", "value").orderBy("ones", "fp")) - 1
+    # A band is numbered in pieces: by population count, and by the leading bits of the fingerprint.
+    piece = F.struct("ones", F.expr("shiftright(fp, 56)").alias("lead"))
+    placed = _ranks.numbered(bands, ["band", "value"], piece, [F.col("ones"), F.col("fp")], "place")
     tiles = _store.materialise(
-        bands.withColumn("tile", F.floor(place / tile))
+        placed.withColumn("tile", F.floor(F.col("place") / tile))
         .groupBy("band", "value", "tile")
         .agg(F.collect_list("fp").alias("fps"), F.min("ones").alias("least"), F.max("ones").alias("most"))
         .filter((F.size("fps") > 1) | (F.col("tile") > 0)),
@@ -141,13 +143,16 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """Per row: doc_id, fp, component_id (least doc_id of its component)."""
     marked = _store.materialise(fingerprints(docs), "fingerprints")
-    known = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    known = _store.materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     roots = _components.components(links(known.select("fp"), radius, tile), "simhash").select(
         F.col("node").alias("fp"), "root"
     )
-    rooted = known.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(rooted.join(named, "root").select("fp", "component_id"), "fp")
+    rooted = _store.materialise(known.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    size = rooted.agg(F.count("*").alias("fps"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("fps"))
+    # Neither a component of very many fingerprints nor a fingerprint of very many rows is dealt to one task.
+    found = _hot.looked_up(rooted, named, "root", "fps", size["fps"]).select("fp", "component_id", "n")
+    return _hot.looked_up(marked, _store.materialise(found, "components"), "fp", "n", size["rows"])
 
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -157,11 +162,13 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     text; of rows equal in both, the least row.
     """
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
-    stay = near_duplicates(docs.select(key.alias("doc_id"), "text"), radius).filter("doc_id = component_id")
+    found = near_duplicates(docs.select(key.alias("doc_id"), "text"), radius).filter("doc_id = component_id")
+    stay = _store.materialise(found.select(F.col("doc_id").alias("_id")), "stay")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key.alias("_doc"))
-    return rows.join(
-        stay.select(F.col("doc_id").alias("_id")).distinct().hint("shuffle_hash"), F.col("_doc") == F.col("_id"), "left_semi"
-    ).groupBy("_doc").agg(F.min("_row").alias("_row")).select("_row.*")
+    out = rows.join(stay.distinct().hint("shuffle_hash"), F.col("_doc") == F.col("_id"), "left_semi")
+    if stay.count() > stay.distinct().count():  # rows that repeat doc_id and text
+        out = out.groupBy("_doc").agg(F.min("_row").alias("_row"))
+    return out.select("_row.*")
 
 
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

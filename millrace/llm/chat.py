@@ -35,17 +35,19 @@ from pyspark.sql import functions as F
 from millrace.llm import _ranks, _store
 
 MARKS = r"^[ \t]*(?:>[ \t]?)+"
+#: MARKS with loops that do not take the stack, for lines of very many marks.
+_LINEAR_MARKS = r"^[ \t]*+(?:>[ \t]?+)++"
 SENTENCE_END = "(?<=[.!?]) "
-#: A line that only announces a quote.
-ANNOUNCES = r"(?i)^.{0,200}\bwrote:[ \t]*$"
+#: The end of a line that only announces a quote.
+ANNOUNCES = r"(?i)\bwrote:[ \t]*$"
 
 
 def level(line: Column) -> Column:
-    return F.length(F.regexp_replace(F.regexp_substr(line, F.lit(MARKS)), "[^>]", ""))
+    return F.length(F.regexp_replace(F.regexp_substr(line, F.lit(_LINEAR_MARKS)), "[^>]", ""))
 
 
 def normalised(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(line, MARKS, ""), r"\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(line, _LINEAR_MARKS, ""), r"\s+", " ")))
 
 
 def _lines(text: Column) -> Column:
@@ -149,14 +151,14 @@ def linked(laid: DataFrame) -> DataFrame:
 def own_words(text: Column) -> Column:
     """The text without quoted lines, and without a line that announces a quote."""
     lines = F.split(text, "\r?\n")
-    quoted = lambda x: F.coalesce(x.rlike(MARKS), F.lit(False))
+    quoted = lambda x: F.coalesce(x.rlike(_LINEAR_MARKS), F.lit(False))
     after = F.concat(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), F.array(F.lit("")))
     kept = F.filter(
         F.arrays_zip(lines.alias("line"), after.alias("next")),
         lambda x: ~quoted(x["line"]) & ~(x["line"].rlike(ANNOUNCES) & quoted(x["next"])),
     )
     plain = F.regexp_replace(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"), "\n{3,}", "\n\n")
-    return F.when(text.contains(">"), F.regexp_replace(plain, r"^\s+|\s+$", "")).otherwise(text)
+    return F.when(text.contains(">"), F.regexp_replace(plain, r"\A\s++|(?<!\s)\s++\z", "")).otherwise(text)
 
 
 def conversations(messages: DataFrame) -> DataFrame:

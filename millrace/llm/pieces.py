@@ -1,12 +1,13 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
 The trellis has a node for each place between two characters, and an edge for
-each piece that spells the characters between two nodes. The window of open
-nodes is as long as the longest piece. A node keeps one backpointer: the best
-way to reach it. When the backpointer paths of all open nodes run through one
-earlier node, no later text can change what lies before it: its ids are
-committed, and what was kept for them is dropped. So a text of any length is
-encoded in bounded memory, and no cut is ever made at an arbitrary place.
+each piece that spells the characters between two nodes. A node keeps one
+backpointer: the best way to reach it. Nodes from which some piece goes on past
+the last character read survive; they lie within the longest piece's length. When
+the backpointer paths of all surviving nodes run through one node, no later text
+can change what lies before it: its ids are committed, and what was kept for them
+is dropped. So a text of any length is encoded in bounded memory, character by
+character, and no cut is ever made at an arbitrary place.
 
 What "best" means depends on the model's type. For a unigram model it is the
 greatest sum of scores. A BPE model merges pairs in order of rank, and greatest
@@ -15,9 +16,12 @@ only if merging their joint text gives just these two pieces back; each node
 then has exactly one admissible way to reach it, and the path is the one that
 merging the whole text gives. Both are the same search with other edge weights.
 
-Where two characters meet that no piece has side by side, every path must cross.
-Stretches between such nodes are remembered, as most words recur, and so are the
-nodes in them, as words begin alike.
+All that the search keeps is told by the characters since the last commit and,
+for BPE, the piece before them. Such states are remembered with the step that each
+character takes from them: where words begin alike, a step is one look into a
+dictionary. Where two characters meet that no piece has side by side, all paths
+meet. What the search committed between two such places is remembered too, as
+most words recur. Both memories are bounded; what they forget is searched again.
 
 Defined results: null and empty texts have no ids; characters in no piece become
 byte pieces, or the unknown piece if the model has none; the model's space mark
@@ -44,11 +48,15 @@ from millrace.llm._arrow import slices
 #: A parameter of all functions below; the file must be on every machine.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+#: States of the search that a worker remembers, about half a kilobyte each.
+STATES = 1 << 16
+#: Stretches between certain meeting places, and characters in them, that it remembers twice.
+STRETCHES, CHARACTERS = 1 << 18, 1 << 22
 _UNKNOWN_COST = 10.0
 
 
 def _stretches(pieces: Iterable[str]) -> re.Pattern:
-    """Splits a text at nodes that all paths cross: where two characters meet that no piece has side by side.
+    """Finds the stretches between nodes that all paths cross: where two characters meet that no piece has side by side.
 
     Only such nodes are used as a pattern finds fast: before a space, around line
     ends, and after a run of letters. Letters that some piece has before another
@@ -87,18 +95,33 @@ class Model:
         self.scores = {p.piece.replace(MARK, " "): p.score for p in plain.values()}
         self.bytes = [reader.piece_to_id(f"<0x{b:02X}>") for b in range(256)] if proto.trainer_spec.byte_fallback else None
         self.unknown = reader.unk_id()
-        self.longest = max(map(len, self.ids), default=1)
         self.spelled = [
             bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE
             else p.piece.replace(MARK, " ").encode() if i in plain
             else " ⁇ ".encode() if p.type == kinds.UNKNOWN else b""
             for i, p in enumerate(proto.pieces)
         ]
+        self.prepare()
+
+    def prepare(self, states: int = STATES) -> None:
+        """What the search needs of ids and scores; no states are known yet."""
+        self.longest = max(map(len, self.ids), default=1)
         self.worst = min(self.scores.values(), default=0.0) - _UNKNOWN_COST
+        #: Proper beginnings of pieces, and characters that some piece has side by side.
+        self.beginnings = {p[:k] for p in self.ids for k in range(1, len(p))}
+        self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.joint = lru_cache(1 << 18)(self._joint)
         self.whole = lru_cache(1 << 16)(self._whole)
+        self.states, self.made = states, []
+        self.forget()
         self.stretch = _stretches(self.ids)
 
+    def forget(self) -> None:
+        for state in self.made:
+            state.clear()
+        self.made, self.known = [], {}
+        self.root = State(self, "", (0,), () if self.merging else (0.0,), (0,), None)
+
     def merged(self, text: str) -> list[str]:
         """BPE of a short text by its definition: merge the best adjacent pair, leftmost first, while there is one."""
         parts = list(text)
@@ -114,164 +137,193 @@ class Model:
         return parts
 
     def _joint(self, left: str, right: str) -> bool:
-        return self.merged(left + right) == [left, right]
+        """merged(left + right) == [left, right], told as soon as a merge crosses."""
+        if left + right in self.scores and len(left) == len(right) == 1:
+            return False
+        scores, parts, middle = self.scores, [*left, *right], len(left)  # middle: how many parts left has
+        told = [scores.get(x + y, -math.inf) for x, y in zip(parts, parts[1:])]
+        while (best := max(told)) > -math.inf:
+            k = told.index(best)
+            if k == middle - 1:
+                return False
+            middle -= k < middle
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del told[k]
+            if k:
+                told[k - 1] = scores.get(parts[k - 1] + parts[k], -math.inf)
+            if k < len(told):
+                told[k] = scores.get(parts[k] + parts[k + 1], -math.inf)
+        return len(parts) == 2
 
     def _whole(self, piece: str) -> bool:
         return self.merged(piece) == [piece]
 
-    def last_start(self, text: str, node: int, starts, first: str | None) -> int:
-        """Where the one admissible last piece at a node begins (BPE).
-
-        starts tells it of each node before; first is the piece before the text, or
-        None where nothing is.
-        """
-        ids = self.ids
-        for start in range(node - 1, max(0, node - self.longest) - 1, -1):
-            piece = text[start:node]
-            if piece in ids or start == node - 1:
-                before = text[starts[start] : start] if start else first
-                # A piece that follows another admissibly is whole by itself, too.
-                if self.whole(piece) if before is None else self.joint(before, piece):
-                    break
-        return start
-
-    def id_of(self, piece: str) -> list[int]:
-        known = self.ids.get(piece)
-        if known is not None:
-            return [known]
-        return [self.bytes[b] for b in piece.encode()] if self.bytes else [self.unknown]
+    def spell(self, pieces: Iterable[str]) -> bytes:
+        """The pieces' ids as 32-bit integers."""
+        out = array("i")
+        for piece in pieces:
+            known = self.ids.get(piece)
+            if known is not None:
+                out.append(known)
+            elif self.bytes:
+                out.extend(self.bytes[b] for b in piece.encode())
+            else:
+                out.append(self.unknown)
+        return out.tobytes()
+
+    def after(self, state: State, node: int, first: str) -> State:
+        """The state whose last commit is at a node of `state` that all its paths cross; first: the piece before it."""
+        text = state.text[node:]
+        if text and first[-1] + text[0] not in self.pairs:
+            first = None  # whatever is before, no piece crosses
+        found = self.known.get((first, text))
+        if found is None:
+            back = tuple([b - node if b > node else 0 for b in state.back[node:]])
+            cost = tuple([c - state.cost[node] for c in state.cost[node:]])
+            found = State(self, text, back, cost, tuple([i - node for i in state.alive]), first)
+            self.known[first, text] = found
+            self.made.append(found)
+        return found
+
+
+class State(dict):
+    """The open end of the trellis; as a dictionary, character -> (ids that it commits or None, the state it leads to).
+
+    text: the characters since the last commit; back: per node where its last piece
+    begins; cost: per node, of unigram models; alive: the surviving nodes, in order;
+    first: the piece before the text, where that matters.
+    """
+
+    __slots__ = ("model", "text", "back", "cost", "alive", "first")
+
+    def __init__(self, model: Model, text: str, back: tuple, cost: tuple, alive: tuple, first: str | None):
+        self.model, self.text, self.back, self.cost, self.alive, self.first = model, text, back, cost, alive, first
+
+    def read(self, c: str) -> State:
+        """The state with one more node, nothing committed."""
+        m, text, back, cost, kept = self.model, self.text + c, self.back, self.cost, []
+        n, best = len(text), math.inf
+        start, ids, beginnings = -1, m.ids, m.beginnings
+        for at in self.alive:
+            piece = text[at:]
+            if piece in beginnings:
+                kept.append(at)
+            if piece in ids or at == n - 1:
+                if not m.merging:
+                    total = cost[at] - m.scores.get(piece, m.worst)
+                    if total < best:
+                        best, start = total, at
+                elif start < 0:
+                    before = text[back[at] : at] if at else self.first
+                    # A piece that follows another admissibly is whole by itself, too.
+                    if at == n - 1 or (m.whole(piece) if before is None else m.joint(before, piece)):
+                        start = at
+        kept.append(n)
+        return State(m, text, (*back, start), cost if m.merging else (*cost, best), tuple(kept), self.first)
+
+    def pieces(self, node: int) -> list[str]:
+        """The pieces on the path to a node."""
+        out = []
+        while node:
+            out.append(self.text[self.back[node] : node])
+            node = self.back[node]
+        return out[::-1]
+
+    def meeting(self) -> int:
+        """The latest node that the paths of all surviving nodes cross."""
+        back = self.back
+        met = self.alive[0]
+        for node in self.alive[1:]:
+            while node != met:
+                if node > met:
+                    node = back[node]
+                else:
+                    met = back[met]
+        return met
+
+    def __missing__(self, c: str) -> tuple[bytes | None, State]:
+        m = self.model
+        if len(m.made) >= m.states:
+            m.forget()
+        if not self.text and self.first and self.first[-1] + c not in m.pairs:
+            step = m.root[c]
+        else:
+            state = self.read(c)
+            node = state.meeting() if state.alive[0] else 0
+            if node:
+                done = state.pieces(node)
+                step = m.spell(done), m.after(state, node, done[-1])
+            else:
+                m.made.append(state)
+                step = None, state
+        self[c] = step
+        return step
 
 
 class Stream:
     """Encodes characters as they come: feed() and finish() yield the ids that are certain by then."""
 
     def __init__(self, model: Model):
-        self.model = model
-        self.text = ""  # the characters since the last committed node
-        self.back: list[int] = [0]  # per node: where its last piece begins
-        self.cost: list[float] = [0.0]  # of unigram models
-        self.first: str | None = None  # the last committed piece
-
-    def _reach(self, node: int) -> None:
-        m, text = self.model, self.text
-        if m.merging:
-            start = m.last_start(text, node, self.back, self.first)
-        else:
-            best = math.inf
-            for at in range(max(0, node - m.longest), node):
-                piece = text[at:node]
-                if piece in m.ids or at == node - 1:
-                    total = self.cost[at] - m.scores.get(piece, m.worst)
-                    if total < best:
-                        best, start = total, at
-            self.cost.append(best)
-        self.back.append(start)
-
-    def _commit(self, node: int) -> list[int]:
-        pieces, at = [], node
-        while at:
-            pieces.append(self.text[self.back[at] : at])
-            at = self.back[at]
-        out = [i for p in reversed(pieces) for i in self.model.id_of(p)]
-        self.first, self.text = pieces[0], self.text[node:]
-        self.back = [max(0, b - node) for b in self.back[node:]]
-        self.cost = [c - self.cost[node] for c in self.cost[node:]] if len(self.cost) > node else self.cost
+        self.state = model.root
+
+    @property
+    def text(self) -> str:
+        """The characters whose ids are open."""
+        return self.state.text
+
+    def bytes_of(self, characters: str) -> list[bytes]:
+        out, state = [], self.state
+        for c in characters:
+            ids, state = state[c]
+            if ids:
+                out.append(ids)
+        self.state = state
         return out
 
-    def _meeting(self) -> int:
-        """The latest node that the paths of all open nodes cross."""
-        n = len(self.text)
-        low = max(0, n - self.model.longest + 1)
-        # A node's path descends; the least node that all have come to is where they meet.
-        marks = set(range(low, n + 1))
-        while len(marks) > 1:
-            at = max(marks)
-            marks.discard(at)
-            marks.add(self.back[at])
-        return marks.pop()
+    def rest(self) -> bytes:
+        state = self.state
+        self.state = state.model.root
+        return state.model.spell(state.pieces(len(state.text)))
 
     def feed(self, characters: str) -> list[int]:
-        out: list[int] = []
-        step = 4 * self.model.longest
-        for k in range(0, len(characters), step):
-            part = characters[k : k + step]
-            n = len(self.text)
-            self.text += part
-            for node in range(n + 1, n + len(part) + 1):
-                self._reach(node)
-            # What is shorter than the window need not be committed yet.
-            if len(self.text) > self.model.longest and (node := self._meeting()) > 0:
-                out += self._commit(node)
-        return out
+        return np.frombuffer(b"".join(self.bytes_of(characters)), np.int32).tolist()
 
     def finish(self) -> list[int]:
-        out = self._commit(len(self.text)) if self.text else []
-        self.first = None
-        return out
+        return np.frombuffer(self.rest(), np.int32).tolist()
 
 
-class _Generations(dict):
-    """A dictionary that forgets what was not set among the last `most` to `2 * most` keys."""
+class Memory(dict):
+    """Stretch -> its ids; a stretch not known is searched."""
 
-    def __init__(self, most: int):
+    def __init__(self, model: Model):
         super().__init__()
-        self.most, self.older = most, {}
-
-    def keep(self, key, value):
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-
-
-class _Memory(_Generations):
-    """Ids (as bytes of 32-bit integers) of stretches met before, and for BPE the nodes in them, which stretches that begin alike share."""
-
-    def __init__(self, model: Model, most: int = 1 << 18):
-        super().__init__(most)
-        self.model, self.nodes = model, _Generations(most)
-
-    def _short(self, stretch: str) -> list[int]:
-        """Ids of a stretch of at most 64 characters; only nodes after its longest known beginning are searched."""
-        nodes, n = self.nodes, len(stretch)
-        known, starts = n - 1, None
-        while known and starts is None:
-            begun = stretch[:known]
-            starts = nodes.get(begun) or nodes.older.get(begun)
-            known -= starts is None
-        starts = bytearray(starts or b"\0")
-        for node in range(known + 1, n + 1):
-            starts.append(self.model.last_start(stretch, node, starts, None))
-            nodes.keep(stretch[:node], bytes(starts))
-        out, at = [], n
-        while at:
-            out.append(stretch[starts[at] : at])
-            at = starts[at]
-        return [i for p in reversed(out) for i in self.model.id_of(p)]
+        self.model, self.older, self.characters = model, {}, 0
 
     def __missing__(self, stretch: str) -> bytes:
-        if len(stretch) > 64 or not self.model.merging:
+        ids = self.older.get(stretch)
+        if ids is None:
             stream = Stream(self.model)
-            ids = np.array(stream.feed(stretch) + stream.finish(), np.int32).tobytes()
-        else:
-            ids = self.older.get(stretch) or array("i", self._short(stretch)).tobytes()
-        if len(stretch) <= 64:
-            self.keep(stretch, ids)
+            ids = b"".join(stream.bytes_of(stretch)) + stream.rest()
+        if len(self) >= STRETCHES or self.characters >= CHARACTERS:
+            self.older, self.characters = dict(self), 0
+            self.clear()
+        self.characters += len(stretch)
+        self[stretch] = ids
         return ids
 
 
 @lru_cache(4)
-def _loaded(path: str) -> tuple[Model, _Memory]:
+def _loaded(path: str) -> tuple[Model, Memory]:
     model = Model(path)
-    return model, _Memory(model)
+    return model, Memory(model)
 
 
 def _encoded(text: str | None, path: str) -> np.ndarray:
     if not text:
         return np.zeros(0, np.int32)
     model, memory = _loaded(path)
-    marked = model.prefix + text.replace(MARK, " ")
-    return np.frombuffer(b"".join(map(memory.__getitem__, model.stretch.findall(marked))), np.int32)
+    stretches = model.stretch.finditer(model.prefix + text.replace(MARK, " "))
+    return np.frombuffer(b"".join([memory[x[0]] for x in stretches]), np.int32)
 
 
 def encode(text: str | None, path: str = MODEL) -> list[int]:

@@ -38,7 +38,31 @@ def test_streaming_in_any_chunks_and_a_bounded_window():
     for c in "abcdefghij" * 3000:
         stream.feed(c)
         most = max(most, len(stream.text))
-    assert most < 4 * model.longest
+    assert most < 2 * model.longest
+
+
+def test_ids_are_the_same_when_states_are_forgotten_all_the_time(library):
+    model = pieces.Model(pieces.MODEL)
+    model.prepare(states=50)
+    r = random.Random(4)
+    for _ in range(200):
+        text = edge.words(r.random(), 20) + "".join(r.choices(POOL, k=r.randint(1, 60)))
+        stream = pieces.Stream(model)
+        ids = stream.feed(model.prefix) + stream.feed(text.replace("▁", " ")) + stream.finish()
+        assert ids == library.encode(text) and len(model.made) <= 60
+
+
+def test_ids_are_committed_as_soon_as_all_surviving_paths_meet():
+    model, stream, early = pieces._loaded(pieces.MODEL)[0], None, 0
+    text = " " + edge.words(9, 400)
+    stream = pieces.Stream(model)
+    for k, c in enumerate(text):
+        early += len(stream.feed(c))
+        # Nothing stays open but what a piece may still cross, and its way to the last commit.
+        open_ = stream.state
+        assert open_.meeting() == 0 and all(open_.text[i:] in model.beginnings or i == len(open_.text) for i in open_.alive)
+    rest = stream.finish()
+    assert early + len(rest) == len(pieces.encode(text[1:])) and len(rest) <= 4
 
 
 def test_unigram_models_take_the_greatest_sum():
@@ -46,7 +70,8 @@ def test_unigram_models_take_the_greatest_sum():
     model.merging, model.prefix, model.bytes, model.unknown = False, "", None, 0
     scores = {"a": -1.0, "b": -1.5, "ab": -2.2, "aba": -2.0, "bab": -2.4, "ba": -2.0}
     model.scores, model.ids = scores, {p: i + 1 for i, p in enumerate(scores)}
-    model.longest, model.worst = 3, -12.0
+    model.prepare()
+    model.worst = -12.0
     r = random.Random(3)
 
     def best(text):

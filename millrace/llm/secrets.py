@@ -1,10 +1,11 @@
 """Secret scans by an incremental blob ledger.
 
 Every version of every path is content-addressed: its blob is the SHA-256 of its
-text. The ledger keeps, for each blob, which rule versions have scanned it and
-what they found. A run scans only blob and rule-version pairs that the ledger
-lacks, appends them, and joins the findings back to every path that ever held
-the blob. Copies are so scanned once, and a changed rule rescans only itself.
+text. The ledger keeps which paths held which blob (paths), and for each blob which
+rule versions have scanned it and what they found (scans). A run scans only blob
+and rule-version pairs that the ledger lacks, appends them and its paths, and joins
+the findings of its blobs back to every path that ever held them, in this run or an
+earlier one. Copies are so scanned once, and a changed rule rescans only itself.
 
 Defined results: null text is the empty text; a null path is kept and joined by
 its blob like any other; rows that repeat path and text get equal findings; an
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm import _store
+from millrace.llm import _hot, _store
 
 
 @dataclass(frozen=True)
@@ -31,6 +32,12 @@ class Rule:
     pattern: str
     group: int
     least: int
+    #: Finds the same places as the above do, with the least length in the pattern.
+    tight: str = ""
+
+    @property
+    def search(self) -> str:
+        return self.tight or self.pattern
 
     @property
     def version(self) -> str:
@@ -47,8 +54,9 @@ BASE_RULES = (
         2,
         6,
     ),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", r"[0-9a-f]+", 0, 24),
+    # A match takes its run of characters whole and may begin anywhere in it, so only the length decides.
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 20, r"AKIA[A-Z0-9]{16,}+"),
+    Rule("hex", r"[0-9a-f]+", 0, 24, r"(?<![0-9a-f])[0-9a-f]{24,}+"),
 )
 # Public credential formats beyond the base rules.
 EXTRA_RULES = (
@@ -66,8 +74,8 @@ _SPANS = "array<struct<start:bigint,ord:int,end:bigint>>"
 def _found(text: Column, rule: Rule, order: int) -> Column:
     """Spans of one rule: the gaps and the matches alternate, so a running sum of their lengths gives places."""
     lengths = F.zip_with(
-        F.split(text, rule.pattern, -1),
-        F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)),
+        F.split(text, rule.search, -1),
+        F.regexp_extract_all(text, F.lit(rule.search), F.lit(0)),
         lambda gap, match: F.struct(
             F.length(gap).cast("bigint").alias("gap"), F.length(match).cast("bigint").alias("match")
         ),
@@ -75,7 +83,7 @@ def _found(text: Column, rule: Rule, order: int) -> Column:
     if rule.group:
         lengths = F.zip_with(
             lengths,
-            F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)),
+            F.regexp_extract_all(text, F.lit(rule.search), F.lit(rule.group)),
             lambda x, part: F.struct(x["gap"].alias("gap"), x["match"].alias("match"), F.length(part).alias("part")),
         )
     kept = "part" if rule.group else "match"
@@ -122,7 +130,7 @@ def _found(text: Column, rule: Rule, order: int) -> Column:
         lambda acc: acc["out"],
     )
     spans = named(cut, lambda blocks: F.flatten(F.zip_with(blocks, starts(blocks), within)))
-    return F.when(text.rlike(rule.pattern), spans).otherwise(F.array().cast(_SPANS))
+    return F.when(text.rlike(rule.search), spans).otherwise(F.array().cast(_SPANS))
 
 
 def _joined(spans: Column, kinds: list[str]) -> Column:
@@ -139,26 +147,27 @@ def _joined(spans: Column, kinds: list[str]) -> Column:
 
 
 def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, path: str = "doc_id", text: str = "text") -> DataFrame:
-    """Scan all versions; return one row per input row: path, blob, spans (array of start, ord, end by place).
+    """Scan all versions; return path, blob, spans (array of start, ord, end by place).
 
-    `ledger` is a folder all executors share; it may hold earlier runs. `ord` is
-    the 1-based place of the span's rule in `rules`.
+    One row per input row, and one for each other path that an earlier run recorded
+    for a blob of this one. `ledger` is a folder all executors share; it may hold
+    earlier runs. `ord` is the 1-based place of the span's rule in `rules`.
     """
     spark = versions.sparkSession
+    scans, held = f"{ledger}/scans", f"{ledger}/paths"
     texts = versions.select(F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn(
         "blob", F.unhex(F.sha2("text", 256))
     )
     paths = _store.materialise(texts.select("path", "blob"), "paths")
-    names = [r.version for r in rules]
-    every = F.array(*[F.lit(n) for n in names])
-    todo = paths.groupBy("blob").agg(F.min("path").alias("of"))
-    if _store.exists(spark, ledger):
-        seen = spark.read.parquet(ledger).groupBy("blob").agg(F.flatten(F.collect_set("rules")).alias("seen"))
-        todo = todo.join(seen, "blob", "left").withColumn(
+    blobs = _store.materialise(paths.groupBy("blob").agg(F.min("path").alias("of"), F.count("*").alias("n")), "blobs")
+    every = F.array(*[F.lit(r.version) for r in rules])
+    if _store.exists(spark, scans):
+        seen = spark.read.parquet(scans).groupBy("blob").agg(F.flatten(F.collect_set("rules")).alias("seen"))
+        todo = blobs.join(seen, "blob", "left").withColumn(
             "unseen", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))
         )
     else:
-        todo = todo.withColumn("unseen", every)
+        todo = blobs.withColumn("unseen", every)
     todo = todo.filter(F.size("unseen") > 0).select(
         F.col("blob").alias("todo_blob"), F.col("of").alias("todo_of"), "unseen"
     )
@@ -174,19 +183,35 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, path
             for i, r in enumerate(rules, 1)
         ]
     )
+    # Most texts have no place of any rule, which one look tells.
+    hit = F.col("text").rlike("|".join(f"(?:{r.search})" for r in rules))
     lent.select(
         "blob",
         F.col("unseen").alias("rules"),
         F.transform(
-            found,
+            F.when(hit, found).otherwise(F.array().cast(_SPANS)),
             lambda x: F.struct(
                 F.element_at(every, x["ord"]).alias("rule"), x["start"].alias("start"), x["end"].alias("end")
             ),
         ).alias("spans"),
-    ).write.mode("append").parquet(ledger)
+    ).write.mode("append").parquet(scans)
+    same = F.col("path").eqNullSafe(F.col("_path")) & (F.col("blob") == F.col("_blob"))
+    versions_now = paths.distinct()
+    if _store.exists(spark, held):
+        earlier = spark.read.schema(paths.schema).parquet(held)
+        told = earlier.select(F.col("path").alias("_path"), F.col("blob").alias("_blob"))
+        fresh = _store.materialise(versions_now.join(told, same, "left_anti"), "fresh")
+        mine = versions_now.select(F.col("path").alias("_path"), F.col("blob").alias("_blob"))
+        others = earlier.join(blobs.select("blob"), "blob", "left_semi").join(mine, same, "left_anti")
+        every_path = _store.materialise(paths.unionByName(others), "paths")
+        blobs = every_path.groupBy("blob").agg(F.count("*").alias("n"))
+    else:
+        fresh, every_path = versions_now, paths
+    fresh.write.mode("append").parquet(held)
     findings = (
-        spark.read.parquet(ledger)
+        spark.read.parquet(scans)
         .filter(F.size("spans") > 0)
+        .join(blobs.select("blob"), "blob", "left_semi")
         .select("blob", F.explode("spans").alias("span"))
         .withColumn("ord", F.array_position(every, F.col("span.rule")).cast("int"))
         .filter("ord > 0")
@@ -199,7 +224,7 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, path
             ).alias("spans")
         )
     )
-    return paths.join(findings, "blob", "left").select(
+    return _hot.salted(every_path, findings, "blob", blobs, "n", every_path.count(), by="path").select(
         "path", "blob", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans")
     )
 

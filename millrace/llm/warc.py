@@ -8,10 +8,11 @@ Writing: each task writes one .warc.gz of its own name, one gzip member per
 record. A member's header carries the 'SL' extra field: its compressed and
 uncompressed length. The commit writes a manifest that lists the files of tasks
 that succeeded, with a place to start about every `chunk` bytes; files of failed
-or repeated tasks are in no manifest and never read.
+or repeated tasks, which their names tell, are in no manifest and never read.
 
 Reading: partitions are planned from the manifests, a file's chunks apart from
-one another; files without a manifest are one partition each. Equality and IN on
+one another; archives of other tools, in subfolders too, are one partition each, and
+plain .warc files are refused. Equality and IN on
 record_type and on the header columns, and prefixes of target_uri, are pushed to
 the source (with spark.sql.python.filterPushdown.enabled). The headers of a
 record are inflated and parsed first, from the first bytes of its member; the
@@ -57,6 +58,7 @@ from pyspark.sql.datasource import (
 )
 
 from millrace.llm import _store
+from millrace.llm._arrow import slices
 
 SCHEMA = (
     "record_type string, record_id string, refers_to_id string, target_uri string, page_id long, refers_to_page long, "
@@ -78,6 +80,10 @@ _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _FIXED = struct.Struct("<4sIBB")
 _READ = 1 << 20
+#: How the names of this writer's archives begin; those that no manifest lists are of failed tasks.
+_OWN = "millrace-part-"
+#: Rows of a broadcast table, about 100 bytes each.
+_BROADCAST_ROWS = 400_000
 
 
 def _system(path: str):
@@ -128,21 +134,26 @@ class _Source:
 
     def __init__(self, file, start: int):
         file.seek(start)
-        self.file, self.held, self.at = file, b"", start
+        self.file, self.held, self.used, self.at = file, b"", 0, start
 
     def peek(self, n: int) -> bytes:
-        while len(self.held) < n and (more := self.file.read(max(_READ, n - len(self.held)))):
-            self.held += more
-        return self.held[:n]
+        while len(self.held) - self.used < n and (more := self.file.read(max(_READ, n))):
+            self.held, self.used = self.held[self.used :] + more, 0
+        return self.held[self.used : self.used + n]
 
     def skip(self, n: int) -> None:
-        if n <= len(self.held):
-            self.held = self.held[n:]
+        if n <= len(self.held) - self.used:
+            self.used += n
         else:
             self.file.seek(self.at + n)
-            self.held = b""
+            self.held, self.used = b"", 0
         self.at += n
 
+    def back(self, data: bytes) -> None:
+        """Give back what was skipped last."""
+        self.held, self.used = data + self.held[self.used :], 0
+        self.at -= len(data)
+
 
 class _Member:
     """The gzip member that begins where the source stands; inflated step by step."""
@@ -189,8 +200,7 @@ class _Member:
             return
         while not self.done:
             self.read(_READ)
-        self.source.held = self.spare + self.source.held
-        self.source.at -= len(self.spare)
+        self.source.back(self.spare)
 
 
 def read_records(file, start: int, end: int, wanted, with_payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
@@ -261,18 +271,19 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         system, root = _system(self.path)
-        found = {x.base_name: x for x in system.get_file_info(pafs.FileSelector(root, recursive=False))}
-        pieces, listed, managed = [], set(), False
-        for name in sorted(found):
-            if name.startswith("_manifest-"):
-                managed = True
-                with system.open_input_stream(found[name].path) as f:
-                    for x in json.loads(f.read()):
-                        ends = [*x["starts"][1:], x["size"]]
-                        pieces += [_Piece(f"{root}/{x['file']}", a, b) for a, b in zip(x["starts"], ends)]
-                        listed.add(x["file"])
-        if not managed:
-            pieces = [_Piece(x.path, 0, x.size) for n, x in sorted(found.items()) if n.endswith((".warc.gz", ".warc.gzip"))]
+        found = [x for x in system.get_file_info(pafs.FileSelector(root, recursive=True)) if x.type == pafs.FileType.File]
+        pieces = []
+        for x in sorted(found, key=lambda x: x.path):
+            if x.base_name.startswith("_manifest-"):
+                folder = x.path.rpartition("/")[0]
+                with system.open_input_stream(x.path) as f:
+                    for told in json.loads(f.read()):
+                        ends = [*told["starts"][1:], told["size"]]
+                        pieces += [_Piece(f"{folder}/{told['file']}", a, b) for a, b in zip(told["starts"], ends)]
+            elif x.base_name.endswith((".warc.gz", ".warc.gzip")) and not x.base_name.startswith(_OWN):
+                pieces.append(_Piece(x.path, 0, x.size))
+            elif x.base_name.endswith(".warc"):
+                raise ValueError(f"{x.path}: archives are read with one gzip member per record, not plain")
         return pieces
 
     def value(self, column: str, headers: dict[str, str]):
@@ -317,10 +328,10 @@ class WarcWriter(DataSourceArrowWriter):
     def write(self, iterator):
         system, root = _system(self.path)
         system.create_dir(root, recursive=True)
-        name = f"part-{uuid.uuid4().hex}.warc.gz"
+        name = f"{_OWN}{uuid.uuid4().hex}.warc.gz"
         at, starts, n = 0, [], 0
         with system.open_output_stream(f"{root}/{name}", compression=None) as out:
-            for batch in iterator:
+            for batch in slices(iterator, 64):
                 columns = batch.to_pydict()
                 for k in range(batch.num_rows):
                     row = {c: columns[c][k] for c in columns}
@@ -378,13 +389,16 @@ def write_pages(pages: DataFrame, folder: str, least: int = 100) -> None:
         known.filter(F.col("n") >= least).groupBy("sha", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
         .filter("copies > 1 AND first IS NOT NULL")
     )
-    again = (
+    again = _store.materialise(
         known.join(firsts, ["sha", "n"]).filter(~F.col("page_id").eqNullSafe(F.col("first")))
-        .select(F.col("page_id").alias("again_id"), F.col("sha").alias("again_sha"), "first").distinct()
+        .select(F.col("page_id").alias("again_id"), F.col("sha").alias("again_sha"), "first").distinct(),
+        "again",
     )
-    # Dealt by page and digest, so copies spread; the hash join holds the small side and does not sort payloads.
+    # Few are broadcast, so no payload moves. Many: dealt by page and digest, so copies
+    # spread; the hash join holds the small side and does not sort payloads.
+    few = again.count() <= _BROADCAST_ROWS
     joined = rows.join(
-        again.hint("shuffle_hash"),
+        F.broadcast(again) if few else again.hint("shuffle_hash"),
         F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("sha") == F.col("again_sha")),
         "left",
     )

@@ -99,7 +99,7 @@ def test_folded_headers_and_cut_files():
 def test_only_committed_files_are_read_and_foreign_ones_without_a_manifest(spark, folder, tmp_path):
     extra = warc.member(warc.record({"WARC-Type": "response", "WARC-Record-ID": "<z>"}, b"lost"))
     place = folder.removeprefix("file://")
-    with open(f"{place}/part-lost.warc.gz", "wb") as f:
+    with open(f"{place}/{warc._OWN}lost.warc.gz", "wb") as f:
         f.write(extra)
     assert spark.read.format("warc").load(folder).count() == len(PAGES)
     (tmp_path / "foreign.warc.gz").write_bytes(gzip.compress(warc.record({"WARC-Type": "response", "WARC-Record-ID": "<f>"}, b"hello")))
@@ -124,3 +124,24 @@ def test_empty_table(spark):
     path = _store.fresh_path(spark, "warc-empty")
     warc.write_pages(spark.createDataFrame([], "page_id long, url string, html string"), path)
     assert spark.read.format("warc").load(path).count() == 0
+
+
+def test_archives_of_other_tools_are_read_beside_those_of_this_writer(spark, tmp_path):
+    extra = warc.member(warc.record({"WARC-Type": "response", "WARC-Record-ID": "<z>"}, b"found"))
+    mine = str(tmp_path / "both")
+    warc.write_pages(spark.createDataFrame([(1, "http://a", "one")], "page_id long, url string, html string"), f"file://{mine}")
+    (tmp_path / "both" / "sub").mkdir()
+    for name in ("part-other.warc.gz", "sub/more.warc.gz"):
+        (tmp_path / "both" / name).write_bytes(extra)
+    assert spark.read.format("warc").load(f"file://{mine}").count() == 3
+    (tmp_path / "both" / "plain.warc").write_bytes(b"WARC/1.1\r\n\r\n")
+    with pytest.raises(Exception, match="one gzip member per record"):
+        spark.read.format("warc").load(f"file://{mine}").count()
+
+
+def test_many_copies_are_dealt_where_they_are_too_many_to_broadcast(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "_BROADCAST_ROWS", 0)
+    pages = spark.createDataFrame([(k, None, "x" * 200) for k in range(40)], "page_id long, url string, html string")
+    warc.write_pages(pages, f"file://{tmp_path}/m")
+    back = spark.read.format("warc").load(f"file://{tmp_path}/m").collect()
+    assert sorted((r["page_id"], r["record_type"], r["refers_to_page"]) for r in back) == [(0, "response", None), *[(k, "revisit", 0) for k in range(1, 40)]]

@@ -14,8 +14,7 @@ ever: where a document goes is then arithmetic on its rank in its lane.
 
 A lane without any document takes no part: the shares of the others make up the
 period, so each keeps its proportion to the others from the first slot to the
-last on target. Only op4_source_mixing holds the slots of such lanes, as its
-oracle SQL does.
+last on target.
 
 Lanes run out. The mix is on target until the first lane does; from there its
 slots are skipped and the other lanes go on in order, so no document is dropped
@@ -70,12 +69,12 @@ def schedule(shares: dict[str, int]) -> list[tuple[str, int]]:
     return out
 
 
-def placed(docs: DataFrame, shares: dict[str, int] = TARGET, block_docs: int = BLOCK_DOCS, bucket_rows: int = 20_000, held: bool = False) -> DataFrame:
+def placed(docs: DataFrame, shares: dict[str, int] = TARGET, block_docs: int = BLOCK_DOCS, bucket_rows: int = 20_000) -> DataFrame:
     """Column _row, a struct of each row of docs, and ADDED; `position` is the place in the mix, from 0.
 
     `shares` must hold whole numbers over 0; its sum, the period, and its lanes
     bound what the driver plans. doc_id, source and n_chars are read. Lanes
-    without documents are left out of the shares, unless their slots are `held`.
+    without documents are left out of the shares.
     """
     spark = docs.sparkSession
     if REST not in shares:
@@ -86,7 +85,7 @@ def placed(docs: DataFrame, shares: dict[str, int] = TARGET, block_docs: int = B
         "lane", F.when(F.col("source").isin(named), F.col("source")).otherwise(F.lit(REST))
     ).withColumn("_digest", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sizes = dict.fromkeys(shares, 0) | {r["lane"]: r["n"] for r in laned.groupBy("lane").agg(F.count("*").alias("n")).collect()}
-    if any(sizes.values()) and not held:
+    if any(sizes.values()):
         shares = {x: share for x, share in shares.items() if sizes[x]}
     period, plan, lanes = sum(shares.values()), schedule(shares), sorted(shares)
     digits = max(1, math.ceil(math.log(max(1, sum(sizes.values()) / bucket_rows), 16)))
@@ -136,10 +135,10 @@ def placed(docs: DataFrame, shares: dict[str, int] = TARGET, block_docs: int = B
     )
 
 
-def mix(docs: DataFrame, shares: dict[str, int] = TARGET, block_docs: int = BLOCK_DOCS, held: bool = False) -> DataFrame:
+def mix(docs: DataFrame, shares: dict[str, int] = TARGET, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """The columns of docs, and those of ADDED."""
     own = [F.col(f"_row.`{c}`") for c in docs.columns if c.lower() not in ADDED]
-    return placed(docs, shares, block_docs, held=held).select(*own, *ADDED)
+    return placed(docs, shares, block_docs).select(*own, *ADDED)
 
 
 def mixed(docs: DataFrame, shares: dict[str, int] = TARGET, block_docs: int = BLOCK_DOCS) -> DataFrame:
@@ -149,26 +148,34 @@ def mixed(docs: DataFrame, shares: dict[str, int] = TARGET, block_docs: int = BL
 
 def op4_source_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "n_chars")
-    return mix(docs, held=True).drop("n_chars")  # as the oracle SQL
+    return mix(docs).drop("n_chars")
 
 
 def _oracle() -> str:
-    period, plan = sum(TARGET.values()), schedule(TARGET)
-    places = ", ".join(f"('{lane}', {block}, {slot}, {TARGET[lane]})" for slot, (lane, block) in enumerate(plan))
+    """Plans one period by itself, a slot at a time, from the target weights alone."""
+    target = ", ".join(f"('{lane}', {share})" for lane, share in TARGET.items())
     named = ", ".join(f"'{x}'" for x in TARGET if x != REST)
     return f"""
-WITH p(lane, j, place, share) AS (VALUES {places}),
+WITH RECURSIVE target(lane, share) AS (VALUES {target}),
 d AS (SELECT doc_id, source, CASE WHEN source IN ({named}) THEN source ELSE '{REST}' END AS lane,
     md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS digest, n_chars FROM documents),
+w AS (SELECT lane, share, c FROM target JOIN (SELECT lane, count(*) AS c FROM d GROUP BY lane) USING (lane)),
+a AS (SELECT list(lane ORDER BY lane) AS lanes, list(share ORDER BY lane) AS shares, CAST(sum(share) AS BIGINT) AS period FROM w),
+e(slot, pick, done) AS (
+    SELECT CAST(-1 AS BIGINT), CAST(0 AS BIGINT), list_transform(shares, lambda x: CAST(0 AS BIGINT)) FROM a
+    UNION ALL
+    SELECT slot + 1, p, list_transform(done, lambda n, i: n + CAST(i = p AS BIGINT)) FROM (
+        SELECT slot, done, list_min(list_transform(list_filter(range(1, len(done) + 1),
+            lambda i: done[i] < shares[i] AND done[i] * period // shares[i] <= slot + 1),
+            lambda i: ((done[i] + 1) * period + shares[i] - 1) // shares[i] * 1000 + i)) % 1000 AS p
+        FROM e, a WHERE slot + 1 < period)),
+p AS (SELECT lanes[pick] AS lane, done[pick] - 1 AS j, slot AS place, shares[pick] AS share FROM e, a WHERE slot >= 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY digest, doc_id NULLS LAST, n_chars NULLS LAST) - 1 AS lane_rank FROM d),
-s AS (SELECT r.*, lane_rank // {BLOCK_DOCS} AS block, share, place, j FROM r JOIN p ON p.lane = r.lane
-    AND p.j = (lane_rank // {BLOCK_DOCS}) % share),
-t AS (SELECT *, block // share * {period} + place AS slot FROM s),
-n AS (SELECT p.lane, p.share, coalesce(c, 0) // {BLOCK_DOCS} AS whole FROM (SELECT DISTINCT lane, share FROM p) p
-    LEFT JOIN (SELECT lane, count(*) AS c FROM d GROUP BY lane) USING (lane)),
-h AS (SELECT min(whole // n.share * {period} + place) AS horizon FROM n JOIN p ON p.lane = n.lane AND p.j = whole % n.share)
-SELECT doc_id, source, lane, lane_rank, block, CAST(block * {period} // share AS BIGINT) AS release,
-    CAST(((block + 1) * {period} + share - 1) // share AS BIGINT) AS deadline, CAST(slot AS BIGINT) AS slot,
+t AS (SELECT r.*, lane_rank // {BLOCK_DOCS} AS block, share, lane_rank // {BLOCK_DOCS} // share * period + place AS slot, period
+    FROM r JOIN p ON p.lane = r.lane AND p.j = (lane_rank // {BLOCK_DOCS}) % share, a),
+h AS (SELECT min(c // {BLOCK_DOCS} // w.share * period + place) AS horizon FROM w JOIN p ON p.lane = w.lane AND p.j = c // {BLOCK_DOCS} % w.share, a)
+SELECT doc_id, source, lane, lane_rank, block, CAST(block * period // share AS BIGINT) AS release,
+    CAST(((block + 1) * period + share - 1) // share AS BIGINT) AS deadline, CAST(slot AS BIGINT) AS slot,
     row_number() OVER (ORDER BY slot, lane_rank) - 1 AS position, slot < (SELECT horizon FROM h) AS on_target
 FROM t
 """

@@ -34,7 +34,8 @@ def test_mix_is_whole_and_on_target(spark):
         assert r["release"] <= r["slot"] < r["deadline"]
         taken[r["lane"]] += 1
         for lane, share in shares.items():
-            assert abs(taken[lane] - (r["position"] + 1) * share / 10) < 2 * size
+            # Less than one block wherever a block ends; within a block, that much more.
+            assert abs(taken[lane] - (r["position"] + 1) * share / 10) < (size if (r["position"] + 1) % size == 0 else 2 * size)
     assert sum(taken.values()) > 400
     by_slot = defaultdict(set)
     for r in out:
@@ -51,7 +52,7 @@ def test_lanes_without_documents_take_no_slots(spark):
         assert r["on_target"] and r["release"] <= r["slot"] < r["deadline"]
         taken[r["lane"]] += 1
         for lane, share in {"a": 6, "b": 3}.items():
-            assert abs(taken[lane] - (r["position"] + 1) * share / 9) < 2 * size
+            assert abs(taken[lane] - (r["position"] + 1) * share / 9) < (size if (r["position"] + 1) % size == 0 else 2 * size)
     given = mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     assert given.filter("on_target").count() > 100 * mixing.BLOCK_DOCS / 10
 

@@ -1,43 +1,46 @@
 """Toxicity by nearest labelled examples.
 
-A text is a TF-IDF vector over a vocabulary of telling terms; its nearest
+A text is a TF-IDF vector over all terms of the labelled examples; its nearest
 labelled examples by exact cosine vote on it, each with a weight that falls with
 its distance. A monotone calibration turns the vote into a probability.
 
 Terms are words and the beginnings of words (inflected and compound forms share
-them). The vocabulary is the `vocabulary` terms that the likelihood ratio finds
-most typical of toxic examples. Every text also has one constant term, the
-pivot, so that one chance word does not make a long clean text as similar to a
-one-word example as that is to itself.
+them). A term weighs 1 + log of its count in the text, by its inverse document
+frequency in the whole corpus, by the square of its relevance frequency: log2(2 +
+a / max(1, b)), where a toxic and b clean examples have it. So a word that toxic
+examples share counts for more than a chance one, and none counts for nothing.
+Terms that no example has can add to no dot product; they are left out.
 
 The examples are a bounded sample of the labelled rows, by a hash of doc_id: at
-most `toxic` and `clean` of either label. All else covers all documents: the
-document frequencies, and the search, which is exact.
+most `toxic` and `clean` of either label, with their whole texts. All else covers
+all documents: the document frequencies, and the search, which is exact.
 
-The search uses block-max inverted indexes. Examples are ordered by their
-strongest term and cut into blocks; a term's postings carry the greatest weight
-of each block. A query adds up the bounds of its terms, takes blocks from the
-greatest bound down, and stops at the first block that cannot reach the k-th
-similarity found so far.
+The search uses a block-max inverted index. Examples are ordered by their
+strongest term and cut into blocks. Short postings lists are added up whole. The
+FREQUENT longest lists carry the greatest weight of each block: what they can add
+at most, on top of what the short lists gave, bounds a block. Blocks of the greatest
+bounds are taken first; then all others whose bound reaches the k-th similarity
+found there. Queries go through the index many at a time.
 
 Labels, lang, source and doc_id are never inputs of a score. Labels are learned
 from rows that `held_out` leaves; null labels are no labels, and of rows that
-repeat doc_id in labels, toxic wins.
-
-Defined results: null and empty texts have the pivot alone and get the
-calibrated score of texts without telling terms; without any examples all scores
-are 0; equally near examples are taken in the index's order; repeated rows get
-equal results; an empty table gives no rows; other columns are ignored, so their
-names cannot clash. Texts are always read whole, of any length.
+repeat doc_id in labels, toxic wins; of rows that repeat doc_id in docs, the
+one of the least vector is the example.
+
+Defined results: a text without any term of the examples, as null and empty ones,
+has no evidence and the vote 0; without any examples all scores are 0; examples of
+similarity 0 have no vote; equally near ones are taken in the index's order;
+doc_id may be of any type that has an order; repeated rows get equal results; an
+empty table gives no rows; other columns are ignored, so their names cannot
+clash. Texts are always read whole, of any length.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -48,20 +51,20 @@ from millrace.llm import _store
 from millrace.llm._arrow import slices
 
 PREFIXES = (4, 5, 6)
-LONGEST = 40
-PIVOT = 10.0
 BLOCK = 32
+#: Postings lists that are bounded by block.
+FREQUENT = 1024
+#: Queries that go through the index at a time.
+BATCH = 256
 NEAREST = 31
 #: What a word may carry at either end of its token.
 EDGES = "0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’…–—¡¿·"
 
 
 def terms(token: str) -> tuple[str, ...]:
-    """Terms of one token: the word, and beginnings of it marked by ^. Tokens over LONGEST letters are no words."""
+    """Terms of one token: the word, and beginnings of it marked by ^."""
     word = token.strip(EDGES)
-    if not word or len(word) > LONGEST:
-        return ()
-    return (word, *(f"^{word[:k]}" for k in PREFIXES if len(word) > k))
+    return (word, *(f"^{word[:k]}" for k in PREFIXES if len(word) > k)) if word else ()
 
 
 def held_out(doc_id: Column) -> Column:
@@ -82,66 +85,53 @@ def examples(labels: DataFrame, toxic: int, clean: int) -> tuple[DataFrame, dict
     return _store.materialise(pick(1, toxic).union(pick(0, clean)), "sampled"), {0: there.get(0, 0), 1: there.get(1, 0)}
 
 
-def vocabulary(texts: DataFrame, size: int, least: int = 3) -> list[str]:
-    """The `size` terms most typical of label 1 in texts (label, text), by the likelihood ratio, over 10.83 (p < 0.001)."""
+def vocabulary(texts: DataFrame) -> tuple[list[str], np.ndarray]:
+    """All terms of texts (label, text), in order, and the relevance frequency of each."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = (Counter(), Counter())
-        n = [0, 0]
-        for batch in slices(source):
+        for batch in slices(source, 64):
+            seen = (Counter(), Counter())
             for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist()):
-                n[label] += 1
                 seen[label].update({t for token in set((text or "").lower().split()) for t in terms(token)})
-        # Only terms of toxic examples can be chosen; others need no counting.
-        known = sorted(seen[0].keys() | seen[1].keys())
-        for at in range(0, len(known), 50_000):
-            part = known[at : at + 50_000]
+            known = sorted(seen[0].keys() | seen[1].keys())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part), pa.array([seen[1][t] for t in part], pa.int64()), pa.array([seen[0][t] for t in part], pa.int64())],
+                [pa.array(known, pa.string()), pa.array([seen[1][t] for t in known], pa.int64()), pa.array([seen[0][t] for t in known], pa.int64())],
                 ["term", "a", "b"],
             )
-        yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([n[1]]), pa.array([n[0]])], ["term", "a", "b"])
 
-    counted = _store.materialise(
-        texts.select("label", "text").mapInArrow(batches, "term string, a long, b long")
-        .groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter(f"a >= {least} OR term = ''"),
-        "terms",
-    )
-    totals = counted.filter("term = ''").first()
-    if not totals or not totals["a"] or not totals["b"]:
-        return []
-    p, q = float(totals["a"]), float(totals["b"])
-    part = lambda x, of: F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) * (p + q) / ((F.col("a") + F.col("b")) * of))).otherwise(0.0)
-    chosen = (
-        counted.filter("term != ''").withColumn("g", 2 * (part("a", p) + part("b", q)))
-        .filter((F.col("g") > 10.83) & (F.col("a") * q > F.col("b") * p))
-        .orderBy(F.desc("g"), "term").limit(size)
-    )
-    return [r["term"] for r in chosen.collect()]
+    counted = texts.select("label", "text").mapInArrow(batches, "term string, a long, b long").groupBy("term").agg(
+        F.sum("a").alias("a"), F.sum("b").alias("b")
+    )
+    found = _store.materialise(counted, "terms").toArrow().sort_by("term")  # terms of at most toxic + clean texts
+    a, b = (found.column(c).to_numpy().astype(float) for c in ("a", "b"))
+    return found.column("term").to_pylist(), np.log2(2 + a / np.maximum(1, b))
 
 
 def vectors(docs: DataFrame, words: list[str]) -> DataFrame:
-    """doc_id, ids and tfs: the vocabulary's terms in each text and how often they occur."""
+    """doc_id, ids (in order) and tfs: the vocabulary's terms in each text and how often they occur."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {w: i for i, w in enumerate(words)}
-        # A word with a term in the vocabulary begins as one of them does.
-        heads = {w.removeprefix("^")[: PREFIXES[0]] for w in words}
+        of: dict[str, tuple[int, ...]] = {}  # token -> its terms' places
         for batch in slices(source):
             found: list[dict[int, int]] = []
             for text in batch.column("text").to_pylist():
                 tf: dict[int, int] = {}
                 for token, n in Counter((text or "").lower().split()).items():
-                    if token.strip(EDGES)[: PREFIXES[0]] in heads:
-                        for t in terms(token):
-                            if (i := place.get(t)) is not None:
-                                tf[i] = tf.get(i, 0) + n
+                    ids = of.get(token)
+                    if ids is None:
+                        if len(of) >= 1 << 18:
+                            of.clear()
+                        ids = of[token] = tuple(place[t] for t in terms(token) if t in place)
+                    for i in ids:
+                        tf[i] = tf.get(i, 0) + n
                 found.append(tf)
+            ids = [sorted(x) for x in found]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.array([list(x) for x in found], pa.list_(pa.int32())),
-                    pa.array([list(x.values()) for x in found], pa.list_(pa.int32())),
+                    pa.array(ids, pa.list_(pa.int32())),
+                    pa.array([[x[i] for i in some] for x, some in zip(found, ids)], pa.list_(pa.int32())),
                 ],
                 ["doc_id", "ids", "tfs"],
             )
@@ -152,106 +142,97 @@ def vectors(docs: DataFrame, words: list[str]) -> DataFrame:
 
 @dataclass
 class BlockMax:
-    """The examples' inverted index. Term t's postings are at[t]:at[t+1], its blocks' segments head[t]:head[t+1]."""
+    """The examples' inverted index: term t's postings are at[t]:at[t+1]; weight: of each term."""
 
-    idf: np.ndarray
-    doc_ids: np.ndarray
+    weight: np.ndarray
+    doc_ids: list
     labels: np.ndarray
-    pivots: np.ndarray
     at: np.ndarray
     posted: np.ndarray
     weights: np.ndarray
-    head: np.ndarray
-    blocks: np.ndarray
-    tops: np.ndarray
-    begins: np.ndarray
 
     @staticmethod
-    def vector(idf: np.ndarray, ids, tfs) -> tuple[np.ndarray, np.ndarray, float]:
-        """Ids, weights and the pivot's weight, of length one together."""
+    def vector(weight: np.ndarray, ids, tfs) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and weights, of length one together."""
         ids = np.asarray(ids, np.int64)
-        raw = (1 + np.log(np.asarray(tfs, float))) * idf[ids] if len(ids) else np.zeros(0)
-        norm = math.sqrt(float(raw @ raw) + PIVOT**2)
-        return ids, raw / norm, PIVOT / norm
+        raw = (1 + np.log(np.asarray(tfs, float))) * weight[ids]
+        return ids, raw / max(float(np.sqrt(raw @ raw)), 1e-300)
 
     @classmethod
-    def build(cls, idf: np.ndarray, rows: list[tuple[int, int, list[int], list[int]]]) -> BlockMax:
+    def build(cls, weight: np.ndarray, rows: list[tuple]) -> BlockMax:
         """rows: doc_id, label, ids, tfs."""
-        made = [(doc, label, *cls.vector(idf, ids, tfs)) for doc, label, ids, tfs in rows]
-        made.sort(key=lambda x: (int(x[2][np.argmax(x[3])]) if len(x[2]) else -1, x[4], x[0]))
-        by_term: list[list[tuple[int, float]]] = [[] for _ in idf]
-        for k, (_, _, ids, w, _) in enumerate(made):
-            for i, v in zip(ids.tolist(), w.tolist()):
-                by_term[i].append((k, v))
-        at, head, posted, weights, blocks, tops, begins = [0], [0], [], [], [], [], []
-        for postings in by_term:
-            for k, v in postings:
-                if len(blocks) == head[-1] or blocks[-1] != k // BLOCK:
-                    blocks.append(k // BLOCK)
-                    tops.append(v)
-                    begins.append(len(posted))
-                tops[-1] = max(tops[-1], v)
-                posted.append(k)
-                weights.append(v)
-            at.append(len(posted))
-            head.append(len(blocks))
-        begins.append(len(posted))
-        return cls(
-            idf, np.array([x[0] for x in made], np.int64), np.array([x[1] for x in made], np.int64), np.array([x[4] for x in made], float),
-            np.array(at), np.array(posted, np.int64), np.array(weights, float), np.array(head), np.array(blocks, np.int64),
-            np.array(tops, float), np.array(begins, np.int64),
-        )
-
-    @staticmethod
-    def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """All places of the ranges that begin at starts, one range after the other."""
-        return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-
-    def _exact(self, chosen: np.ndarray, segs: np.ndarray, weights: np.ndarray, pivot: float) -> tuple[np.ndarray, np.ndarray]:
-        """Places and similarities of the examples in the chosen blocks (a mask), from their segments of postings."""
-        mine = chosen[self.blocks[segs]]
-        segs, weights = segs[mine], weights[mine]
-        lengths = self.begins[segs + 1] - self.begins[segs]
-        at = self._ranges(self.begins[segs], lengths)
-        found = pivot * self.pivots + np.bincount(
-            self.posted[at], self.weights[at] * np.repeat(weights, lengths), minlength=len(self.labels)
-        )
-        places = np.nonzero(np.repeat(chosen, BLOCK)[: len(self.labels)])[0]
-        return places, found[places]
-
-    def nearest(self, ids, tfs, k: int = NEAREST, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and similarities of the k most similar examples, nearest first; `but` is left out.
-
-        The blocks of the greatest bounds are taken first, as many as hold k
-        examples and a few more; then all others whose bound reaches the k-th
-        similarity found there. No other block can hold one of the k.
-        """
+        made = [(doc, label, *cls.vector(weight, ids, tfs)) for doc, label, ids, tfs in rows]
+        made.sort(key=lambda x: (int(x[2][np.argmax(x[3])]) if len(x[2]) else -1, x[0]))
+        none = [np.zeros(0)]
+        term = np.concatenate([x[2] for x in made] + none).astype(np.int64)
+        value = np.concatenate([x[3] for x in made] + none)
+        place = np.repeat(np.arange(len(made)), [len(x[2]) for x in made])
+        order = np.argsort(term, kind="stable")
+        at = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(weight)))))
+        return cls(weight, [x[0] for x in made], np.array([x[1] for x in made], np.int64), at, place[order].astype(np.int32), value[order])
+
+    @cached_property
+    def frequent(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Column of each term among the longest lists, or -1; their weights by example; the greatest of each block; where blocks begin."""
         n = len(self.labels)
-        k = min(k, n - (but is not None))
-        if k <= 0:
-            return np.zeros(0, np.int64), np.zeros(0)
-        ids, weights, pivot = self.vector(self.idf, ids, tfs)
-        lengths = self.head[ids + 1] - self.head[ids]
-        segs, weights = self._ranges(self.head[ids], lengths), np.repeat(weights, lengths)
-        count = -(-n // BLOCK)
-        bound = pivot * np.maximum.reduceat(self.pivots, np.arange(0, n, BLOCK)) + np.bincount(
-            self.blocks[segs], weights * self.tops[segs], minlength=count
-        )
-        first = np.zeros(count, bool)
-        first[np.argsort(-bound, kind="stable")[: -(-(k + 1) // BLOCK) + 3]] = True
-        places, found = self._exact(first, segs, weights, pivot)
+        longest = np.argsort(self.at[:-1] - self.at[1:], kind="stable")[:FREQUENT]
+        column = np.full(len(self.weight), -1)
+        column[longest] = np.arange(len(longest))
+        dense = np.zeros((n, len(longest)))
+        for k, t in enumerate(longest):
+            dense[self.posted[self.at[t] : self.at[t + 1]], k] = self.weights[self.at[t] : self.at[t + 1]]
+        starts = np.arange(0, n, BLOCK)
+        return column, dense, np.maximum.reduceat(dense, starts), starts
+
+    def nearest(self, queries: list[tuple], k: int = NEAREST, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (ids, tfs): places and similarities of the k most similar examples, nearest first.
+
+        Those of similarity 0 are left out, and the place that `but` has for the query.
+        """
+        n, q = len(self.labels), len(queries)
+        if not n:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * q
+        column, dense, tops, starts = self.frequent
+        made = [self.vector(self.weight, ids, tfs) for ids, tfs in queries]
+        row = np.repeat(np.arange(q), [len(ids) for ids, _ in made])
+        term, value = (np.concatenate([x[c] for x in made]) for c in (0, 1))
+        often = column[term] >= 0
+        wide = np.zeros((q, dense.shape[1]))
+        wide[row[often], column[term[often]]] = value[often]
+        row, term, value = row[~often], term[~often], value[~often]
+        lengths = self.at[term + 1] - self.at[term]
+        each = np.repeat(self.at[term] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        total = np.bincount(
+            np.repeat(row, lengths) * n + self.posted[each], np.repeat(value, lengths) * self.weights[each], minlength=q * n
+        ).astype(float).reshape(q, n)
+        bound = np.maximum.reduceat(total, starts, axis=1) + wide @ tops.T
+        left = np.zeros((q, n), bool)  # whose similarity is known
         if but is not None:
-            found = np.where(places == but, -1.0, found)
-        rest = ~first & (bound + 1e-12 >= np.partition(found, -k)[-k])
-        if rest.any():
-            more, similar = self._exact(rest, segs, weights, pivot)
-            places, found = np.concatenate((places, more)), np.concatenate((found, similar))
-            if but is not None:
-                found = np.where(places == but, -1.0, found)
-        found = np.round(found, 12)
-        near = np.nonzero(found >= np.partition(found, -k)[-k])[0]
-        order = near[np.lexsort((places[near], -found[near]))[:k]]
-        return places[order], found[order]
+            total[np.arange(q), but] = -np.inf
+
+        def take(chosen: np.ndarray) -> None:
+            for b in np.nonzero(chosen.any(axis=0))[0]:
+                mine, s = np.nonzero(chosen[:, b])[0], slice(starts[b], starts[b] + BLOCK)
+                total[mine, s] += wide[mine] @ dense[s].T
+                left[mine, s] = True
+
+        some = min(len(starts), -(-(k + 1) // BLOCK) + 3)
+        first = np.zeros(bound.shape, bool)
+        np.put_along_axis(first, np.argpartition(-bound, some - 1, axis=1)[:, :some], True, axis=1)
+        take(first)
+        found = np.where(left, total, -np.inf)
+        least = np.partition(found, n - k, axis=1)[:, n - k] if n > k else np.full(q, -np.inf)
+        take(~first & (bound + 1e-9 >= least[:, None]))
+        out = []
+        for known, sums in zip(left, total):
+            places = np.nonzero(known & (sums > 1e-12))[0]
+            similar = np.round(sums[places], 12)
+            if len(places) > k:
+                near = similar >= np.partition(similar, -k)[-k]
+                places, similar = places[near], similar[near]
+            order = np.lexsort((places, -similar))[:k]
+            out.append((places[order], similar[order]))
+        return out
 
     def vote(self, places: np.ndarray, similar: np.ndarray) -> float:
         """Share of toxic among the examples, each weighted by the inverse of its distance."""
@@ -276,52 +257,57 @@ def calibration(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> t
     return np.array(x), np.array(y)
 
 
-def score(
-    docs: DataFrame, labels: DataFrame, toxic: int = 2000, clean: int = 4000, terms_kept: int = 2048, nearest: int = NEAREST
-) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, toxic: int = 2000, clean: int = 4000, nearest: int = NEAREST) -> DataFrame:
     """Per row: doc_id, held_out, score, vote, evidence (doc_id, label and similarity of the nearest examples)."""
     sampled, there = examples(labels, toxic, clean)
     few = sampled.select(F.col("doc_id").alias("_of"), "label")  # at most toxic + clean rows
     matched = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_of"))
-    words = vocabulary(matched, terms_kept)
+    words, relevance = vocabulary(matched)
     known = _store.materialise(vectors(docs, words), "vectors")
     n = known.count()
     df = np.zeros(len(words))
-    for r in known.select(F.explode("ids").alias("id")).groupBy("id").count().collect():  # a row per term at most
-        df[r["id"]] = r["count"]
-    idf = np.log(1 + n / (1 + df))
+    counted = known.select(F.explode("ids").alias("id")).groupBy("id").count().toArrow()  # a row per term at most
+    df[counted.column("id").to_numpy()] = counted.column("count").to_numpy()
+    weight = np.log(1 + n / (1 + df)) * relevance**2
     rows = (
         known.join(F.broadcast(few), F.col("doc_id") == F.col("_of"))
         .groupBy("doc_id").agg(F.first("label").alias("label"), F.min(F.struct("ids", "tfs")).alias("v"))
         .select("doc_id", "label", "v.ids", "v.tfs").collect()
     )
-    model = BlockMax.build(idf, [(r["doc_id"], r["label"], r["ids"], r["tfs"]) for r in rows])
+    model = BlockMax.build(weight, [tuple(r) for r in rows])
     used = Counter(model.labels.tolist())
     if len(used) == 2:
         told = {r["doc_id"]: (r["ids"], r["tfs"]) for r in rows}
-        votes = np.array([model.vote(*model.nearest(*told[d], nearest, but=k)) for k, d in enumerate(model.doc_ids.tolist())])
-        points = calibration(votes, model.labels.astype(float), np.array([there[y] / used[y] for y in model.labels.tolist()]))
+        votes = []
+        for at in range(0, len(rows), BATCH):
+            part = list(range(at, min(len(rows), at + BATCH)))
+            votes += [model.vote(*x) for x in model.nearest([told[model.doc_ids[p]] for p in part], nearest, part)]
+        points = calibration(np.array(votes), model.labels.astype(float), np.array([there[y] / used[y] for y in model.labels.tolist()]))
     else:
         points = np.array([0.0, 1.0]), np.array([0.0, 0.0])
-    evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
+    model.__dict__.pop("frequent", None)  # each worker makes its own
+    kind = dict(docs.dtypes)["doc_id"]
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        @lru_cache(1 << 12)
-        def judged(ids: tuple[int, ...], tfs: tuple[int, ...]):
-            places, similar = model.nearest(ids, tfs, nearest)
-            vote = model.vote(places, similar)
-            # The vote itself decides between texts of one calibrated level.
-            level = 0.999 * float(np.interp(vote, *points)) + 0.001 * vote if len(used) == 2 else 0.0
-            why = [
-                {"doc_id": int(model.doc_ids[p]), "label": int(model.labels[p]), "similarity": float(s)}
-                for p, s in zip(places[:3], similar[:3])
-            ]
-            return level, vote, why
-
-        for batch in slices(source):
-            found = [
-                judged(tuple(a), tuple(b)) for a, b in zip(batch.column("ids").to_pylist(), batch.column("tfs").to_pylist())
-            ]
+        judged: dict[tuple[bytes, bytes], tuple] = {}  # vectors met lately
+
+        for batch in slices(source, BATCH):
+            ids, tfs = ([np.array(x, np.int32) for x in batch.column(c).to_pylist()] for c in ("ids", "tfs"))
+            keys = [(a.tobytes(), b.tobytes()) for a, b in zip(ids, tfs)]
+            if len(judged) >= 1 << 12:
+                judged.clear()
+            new = {key: (a, b) for key, a, b in zip(keys, ids, tfs) if key not in judged}
+            for key, (places, similar) in zip(new, model.nearest(list(new.values()), nearest) if new else ()):
+                vote = model.vote(places, similar)
+                # The vote itself decides between texts of one calibrated level.
+                level = 0.999 * float(np.interp(vote, *points)) + 0.001 * vote if len(used) == 2 else 0.0
+                why = [
+                    {"doc_id": model.doc_ids[p], "label": int(model.labels[p]), "similarity": float(s)}
+                    for p, s in zip(places[:3].tolist(), similar[:3])
+                ]
+                judged[key] = level, vote, why
+            found = [judged[key] for key in keys]
+            evidence = pa.list_(pa.struct([("doc_id", batch.column("doc_id").type), ("label", pa.int32()), ("similarity", pa.float64())]))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -332,11 +318,8 @@ def score(
                 ["doc_id", "score", "vote", "evidence"],
             )
 
-    kind = dict(docs.dtypes)["doc_id"]
-    # The vectors are a small table: without more tasks, few would have all the work.
-    tasks = min(n // 5000 + 1, max(4 * docs.sparkSession.sparkContext.defaultParallelism, n // 200_000 + 1))
-    return known.repartition(tasks).mapInArrow(
-        batches, f"doc_id {kind}, score double, vote double, evidence array<struct<doc_id:bigint,label:int,similarity:double>>"
+    return known.mapInArrow(
+        batches, f"doc_id {kind}, score double, vote double, evidence array<struct<doc_id:{kind},label:int,similarity:double>>"
     ).withColumn("held_out", held_out(F.col("doc_id")))
 
 

@@ -49,7 +49,7 @@ from millrace.llm._arrow import slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: States of the search that a worker remembers, about half a kilobyte each.
-STATES = 1 << 16
+STATES = 1 << 18
 #: Stretches between certain meeting places, and characters in them, that it remembers twice.
 STRETCHES, CHARACTERS = 1 << 18, 1 << 22
 _UNKNOWN_COST = 10.0

@@ -53,9 +53,9 @@ from millrace.llm._arrow import slices
 PREFIXES = (4, 5, 6)
 BLOCK = 32
 #: Postings lists that are bounded by block.
-FREQUENT = 1024
+FREQUENT = 512
 #: Queries that go through the index at a time.
-BATCH = 256
+BATCH = 128
 NEAREST = 31
 #: What a word may carry at either end of its token.
 EDGES = "0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’…–—¡¿·"
@@ -161,15 +161,28 @@ class BlockMax:
     @classmethod
     def build(cls, weight: np.ndarray, rows: list[tuple]) -> BlockMax:
         """rows: doc_id, label, ids, tfs."""
-        made = [(doc, label, *cls.vector(weight, ids, tfs)) for doc, label, ids, tfs in rows]
-        made.sort(key=lambda x: (int(x[2][np.argmax(x[3])]) if len(x[2]) else -1, x[0]))
-        none = [np.zeros(0)]
-        term = np.concatenate([x[2] for x in made] + none).astype(np.int64)
-        value = np.concatenate([x[3] for x in made] + none)
-        place = np.repeat(np.arange(len(made)), [len(x[2]) for x in made])
-        order = np.argsort(term, kind="stable")
-        at = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(weight)))))
-        return cls(weight, [x[0] for x in made], np.array([x[1] for x in made], np.int64), at, place[order].astype(np.int32), value[order])
+        flat = lambda c: np.array([x for r in rows for x in r[c]], np.int64)
+        sizes = np.array([len(r[2]) for r in rows], np.int64)
+        return cls.of(weight, [r[0] for r in rows], np.array([r[1] for r in rows], np.int64), sizes, flat(2), flat(3))[0]
+
+    @classmethod
+    def of(cls, weight: np.ndarray, doc_ids: list, labels: np.ndarray, sizes: np.ndarray, ids: np.ndarray, tfs: np.ndarray) -> tuple[BlockMax, np.ndarray]:
+        """The index, and which example is at each of its places. ids and tfs hold all examples' terms, one after the other."""
+        n = len(doc_ids)
+        value = (1 + np.log(tfs)) * weight[ids]
+        row = np.repeat(np.arange(n), sizes)
+        value /= np.maximum(np.sqrt(np.bincount(row, value**2, minlength=n)), 1e-300)[row]
+        strongest = np.full(n, -1)
+        by_value = np.lexsort((ids, -value, row))
+        filled = sizes > 0
+        strongest[filled] = ids[by_value[(np.cumsum(sizes) - sizes)[filled]]]
+        order = np.array(sorted(range(n), key=lambda k: (strongest[k], doc_ids[k])), np.int64)
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        place = place[row]
+        by_term = np.lexsort((place, ids))
+        at = np.concatenate(([0], np.cumsum(np.bincount(ids, minlength=len(weight)))))
+        return cls(weight, [doc_ids[k] for k in order], labels[order], at, place[by_term].astype(np.int32), value[by_term]), order
 
     @cached_property
     def frequent(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -272,19 +285,23 @@ def score(docs: DataFrame, labels: DataFrame, toxic: int = 2000, clean: int = 40
     rows = (
         known.join(F.broadcast(few), F.col("doc_id") == F.col("_of"))
         .groupBy("doc_id").agg(F.first("label").alias("label"), F.min(F.struct("ids", "tfs")).alias("v"))
-        .select("doc_id", "label", "v.ids", "v.tfs").collect()
+        .select("doc_id", "label", "v.ids", "v.tfs").toArrow().combine_chunks()
     )
-    model = BlockMax.build(weight, [tuple(r) for r in rows])
+    lists = [rows.column(c).combine_chunks() for c in ("ids", "tfs")]
+    sizes = lists[0].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    ids, tfs = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+    model, order = BlockMax.of(weight, rows.column("doc_id").to_pylist(), rows.column("label").to_numpy(), sizes, ids, tfs)
     used = Counter(model.labels.tolist())
     if len(used) == 2:
-        told = {r["doc_id"]: (r["ids"], r["tfs"]) for r in rows}
-        votes = []
-        for at in range(0, len(rows), BATCH):
-            part = list(range(at, min(len(rows), at + BATCH)))
-            votes += [model.vote(*x) for x in model.nearest([told[model.doc_ids[p]] for p in part], nearest, part)]
+        ends, votes = np.cumsum(sizes), []
+        for at in range(0, len(order), BATCH):
+            part = range(at, min(len(order), at + BATCH))
+            own = [slice(ends[k] - sizes[k], ends[k]) for k in order[part.start : part.stop]]
+            votes += [model.vote(*x) for x in model.nearest([(ids[o], tfs[o]) for o in own], nearest, list(part))]
         points = calibration(np.array(votes), model.labels.astype(float), np.array([there[y] / used[y] for y in model.labels.tolist()]))
     else:
         points = np.array([0.0, 1.0]), np.array([0.0, 0.0])
+    del rows, lists, ids, tfs
     model.__dict__.pop("frequent", None)  # each worker makes its own
     kind = dict(docs.dtypes)["doc_id"]
 
@@ -292,7 +309,8 @@ def score(docs: DataFrame, labels: DataFrame, toxic: int = 2000, clean: int = 40
         judged: dict[tuple[bytes, bytes], tuple] = {}  # vectors met lately
 
         for batch in slices(source, BATCH):
-            ids, tfs = ([np.array(x, np.int32) for x in batch.column(c).to_pylist()] for c in ("ids", "tfs"))
+            ends = np.cumsum(batch.column("ids").value_lengths().to_numpy(zero_copy_only=False))
+            ids, tfs = (np.split(batch.column(c).flatten().to_numpy(), ends[:-1]) for c in ("ids", "tfs"))
             keys = [(a.tobytes(), b.tobytes()) for a, b in zip(ids, tfs)]
             if len(judged) >= 1 << 12:
                 judged.clear()

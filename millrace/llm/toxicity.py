@@ -50,7 +50,9 @@ from pyspark.sql import functions as F
 from millrace.llm import _store
 from millrace.llm._arrow import slices
 
-PREFIXES = (4, 5, 6)
+PREFIXES = (5,)
+#: How much relevance counts: a term's weight has it to this power.
+RELEVANCE = 2.5
 BLOCK = 32
 #: Postings lists that are bounded by block.
 FREQUENT = 512
@@ -120,7 +122,7 @@ def vectors(docs: DataFrame, words: list[str]) -> DataFrame:
                 for token, n in Counter((text or "").lower().split()).items():
                     ids = of.get(token)
                     if ids is None:
-                        if len(of) >= 1 << 18:
+                        if len(of) >= 1 << 17:
                             of.clear()
                         ids = of[token] = tuple(place[t] for t in terms(token) if t in place)
                     for i in ids:
@@ -281,7 +283,7 @@ def score(docs: DataFrame, labels: DataFrame, toxic: int = 2000, clean: int = 40
     df = np.zeros(len(words))
     counted = known.select(F.explode("ids").alias("id")).groupBy("id").count().toArrow()  # a row per term at most
     df[counted.column("id").to_numpy()] = counted.column("count").to_numpy()
-    weight = np.log(1 + n / (1 + df)) * relevance**2
+    weight = np.log(1 + n / (1 + df)) * relevance**RELEVANCE
     rows = (
         known.join(F.broadcast(few), F.col("doc_id") == F.col("_of"))
         .groupBy("doc_id").agg(F.first("label").alias("label"), F.min(F.struct("ids", "tfs")).alias("v"))

@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.config import EngineConfig
 from millrace.functions import urls
 
 
+def _rejected(config: EngineConfig) -> Column:
+    dom = F.coalesce("dominio", F.lit(""))
+    return urls.is_vetoed(dom, config.policy) | urls.is_other_language(dom, config.policy)
+
+
 def purge_candidates(documents: DataFrame, config: EngineConfig) -> DataFrame:
     """Documents whose domain the policy now rejects."""
-    dom = F.coalesce("dominio", F.lit(""))
-    return documents.filter(urls.is_vetoed(dom, config.policy) | urls.is_other_language(dom, config.policy))
+    return documents.filter(_rejected(config))
 
 
 def purge_report(candidates: DataFrame) -> DataFrame:
-    return candidates.groupBy(F.coalesce("dominio", F.lit("")).alias("dominio")).agg(F.count("*").alias("docs"))
+    """Candidates by domain, most first, ties in order of the domain."""
+    by_domain = candidates.groupBy(F.coalesce("dominio", F.lit("")).alias("dominio")).agg(F.count("*").alias("docs"))
+    return by_domain.orderBy(F.desc("docs"), "dominio")
 
 
 def orphans(files: DataFrame, documents: DataFrame) -> DataFrame:
@@ -32,8 +38,7 @@ def present(documents: DataFrame, files: DataFrame) -> DataFrame:
 
 def purged(documents: DataFrame, config: EngineConfig) -> DataFrame:
     """Documents that stay. Write them to a new path and swap: never over the table being read."""
-    gone = purge_candidates(documents, config).select(F.col("id").alias("_gone"))
-    return documents.join(gone, F.col("id") == F.col("_gone"), "left_anti")
+    return documents.filter(~_rejected(config))
 
 
 def queue_totals(decoded: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def by_depth(documents: DataFrame) -> DataFrame:
         F.count("*").alias("docs"),
         F.round(F.avg("palabras")).alias("palabras_prom"),
         F.round(F.avg("densidad_tema"), 1).alias("densidad_prom"),
-    )
+    ).orderBy("profundidad")
 
 
 def new_domains(documents: DataFrame, k: int = 15) -> DataFrame:
@@ -71,10 +71,10 @@ def failures(errors: DataFrame, k: int = 10) -> DataFrame:
 
 
 def real_failures(failures_: DataFrame) -> DataFrame:
-    """Failed requests (url, error_class, motivo, fecha) as rows of errores; policy rejections are no errors."""
+    """Failed requests (url, error_class, motivo, fecha) as rows of errores; policy rejections are no errors, a null class is one."""
     from millrace.functions import urls
 
-    return failures_.filter("error_class != 'IgnoreRequest'").select(
+    return failures_.filter(~F.col("error_class").eqNullSafe("IgnoreRequest")).select(
         "url", urls.domain(F.col("url")).alias("dominio"), text.cut(F.col("motivo"), 300).alias("motivo"), "fecha"
     )
 
@@ -103,11 +103,11 @@ def snapshot(documents: DataFrame, errors: DataFrame) -> DataFrame:
 
 
 def depth_histogram(documents: DataFrame) -> DataFrame:
-    return documents.groupBy("profundidad").agg(F.count("*").alias("docs"))
+    return documents.groupBy("profundidad").agg(F.count("*").alias("docs")).orderBy("profundidad")
 
 
 def seed_origin(documents: DataFrame) -> DataFrame:
-    return documents.groupBy("dominio_semilla").agg(F.count("*").alias("docs"))
+    return documents.groupBy("dominio_semilla").agg(F.count("*").alias("docs")).orderBy("dominio_semilla")
 
 
 def row_count(table: DataFrame) -> DataFrame:

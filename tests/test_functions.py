@@ -131,3 +131,18 @@ def test_html(spark):
     assert column(spark, ["fossil " * 8, "fossil " * 7, None], html.is_rich(a, P, 8)) == [True, False, False]
     nested = "<div>a<nav>x<nav>y</nav>z</nav>b</div>"
     assert "".join(column(spark, [nested], html.tree_text(a))[0].split()) == "ab"
+
+
+def test_texts_of_a_million_characters(spark):
+    n = 1_000_000
+    cases = ["ab-" * (n // 3) + "c", "\u00a0" * n, "x" + "\u00a0" * n + "y", " \u3000\n" * (n // 3) + "z", "\n" * n, "a" * n, "a'" * (n // 2)]
+    assert column(spark, cases, F.length(text.clean(F.col("a")))) == [n, 0, n + 2, 1, 0, n, n]
+    assert column(spark, cases, F.size(text.stats_tokens(F.col("a")))) == [1, 0, 2, 1, 0, 1, 1]
+    assert column(spark, cases, text.word_count(F.col("a"))) == [1, 0, 2, 1, 0, 1, 1]
+    page = "<p>x</p>" * (n // 8) + "<script>" + "y" * n + "</script><!--" + "z" * n + "-->"
+    assert column(spark, [page], F.length(html.main_text(F.col("a"), P)))[0] < n and column(spark, [page], F.size(html.links(F.col("a")))) == [0]
+
+
+def test_the_outer_of_nested_dropped_tags_goes_first(spark):
+    page = "a<style>b<script>c</style>d<nav>e<form>f</form>g</nav>h"
+    assert "".join(column(spark, [page], html.main_text(F.col("a"), P))[0].split()) == "adh"

@@ -171,3 +171,22 @@ def test_policy_rejections_are_no_errors(spark):
     rows = [("https://www.a.org/x", "IgnoreRequest", "m", "t"), ("https://www.a.org/y", "Timeout", "m" * 400, "t")]
     got = metadata.real_failures(spark.createDataFrame(rows, "url string, error_class string, motivo string, fecha string")).collect()
     assert [(r["dominio"], len(r["motivo"])) for r in got] == [("a.org", 300)]
+
+
+def test_failures_without_a_class_are_kept_and_reports_are_ordered(spark):
+    rows = [("https://a.org/x", None, "m", "t"), ("https://a.org/y", "IgnoreRequest", "m", "t")]
+    failed = spark.createDataFrame(rows, "url string, error_class string, motivo string, fecha string")
+    assert [r["url"] for r in metadata.real_failures(failed).collect()] == ["https://a.org/x"]
+    docs = spark.createDataFrame([(i, d) for i, d in enumerate(["es.b.org", "x.com", "x.com", "ok.org", None])], "id long, dominio string")
+    assert [tuple(r) for r in maintenance.purge_report(maintenance.purge_candidates(docs, C)).collect()] == [("x.com", 2), ("es.b.org", 1)]
+    assert sorted(r["id"] for r in maintenance.purged(docs, C).collect()) == [3, 4]
+    deep = spark.createDataFrame([(k % 4, 10, 1.0, k % 2) for k in range(20)], "profundidad int, palabras int, densidad_tema double, dominio_semilla int")
+    assert [r["profundidad"] for r in metadata.by_depth(deep).collect()] == [r["profundidad"] for r in metadata.depth_histogram(deep).collect()] == [0, 1, 2, 3]
+    assert [r["dominio_semilla"] for r in metadata.seed_origin(deep).collect()] == [0, 1]
+
+
+def test_ranks_of_many_words_of_one_frequency(spark):
+    words = [(f"{a}{b}{k}", 1 + (k == 0)) for a in "zañb" for b in "éxa" for k in range(7)]
+    out = corpus_stats.ranked(spark.createDataFrame(words, "palabra string, frecuencia long")).orderBy("rango").collect()
+    assert [r["palabra"] for r in out] == [w for w, _ in sorted(words, key=lambda x: (-x[1], x[0].encode()))]
+    assert [r["rango"] for r in out] == list(range(1, len(words) + 1))

@@ -37,6 +37,7 @@ clash. Texts are always read whole, of any length.
 
 from __future__ import annotations
 
+import gc
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -57,7 +58,7 @@ BLOCK = 32
 #: Postings lists that are bounded by block.
 FREQUENT = 512
 #: Queries that go through the index at a time.
-BATCH = 128
+BATCH = 64
 NEAREST = 31
 #: What a word may carry at either end of its token.
 EDGES = "0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’…–—¡¿·"
@@ -87,7 +88,7 @@ def examples(labels: DataFrame, toxic: int, clean: int) -> tuple[DataFrame, dict
     return _store.materialise(pick(1, toxic).union(pick(0, clean)), "sampled"), {0: there.get(0, 0), 1: there.get(1, 0)}
 
 
-def vocabulary(texts: DataFrame) -> tuple[list[str], np.ndarray]:
+def vocabulary(texts: DataFrame) -> tuple[pa.Array, np.ndarray]:
     """All terms of texts (label, text), in order, and the relevance frequency of each."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,14 +107,14 @@ def vocabulary(texts: DataFrame) -> tuple[list[str], np.ndarray]:
     )
     found = _store.materialise(counted, "terms").toArrow().sort_by("term")  # terms of at most toxic + clean texts
     a, b = (found.column(c).to_numpy().astype(float) for c in ("a", "b"))
-    return found.column("term").to_pylist(), np.log2(2 + a / np.maximum(1, b))
+    return found.column("term").combine_chunks(), np.log2(2 + a / np.maximum(1, b))
 
 
-def vectors(docs: DataFrame, words: list[str]) -> DataFrame:
+def vectors(docs: DataFrame, words: pa.Array) -> DataFrame:
     """doc_id, ids (in order) and tfs: the vocabulary's terms in each text and how often they occur."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {w: i for i, w in enumerate(words)}
+        place = {w.as_py(): i for i, w in enumerate(words)}
         of: dict[str, tuple[int, ...]] = {}  # token -> its terms' places
         for batch in slices(source):
             found: list[dict[int, int]] = []
@@ -303,7 +304,9 @@ def score(docs: DataFrame, labels: DataFrame, toxic: int = 2000, clean: int = 40
         points = calibration(np.array(votes), model.labels.astype(float), np.array([there[y] / used[y] for y in model.labels.tolist()]))
     else:
         points = np.array([0.0, 1.0]), np.array([0.0, 0.0])
-    del rows, lists, ids, tfs
+    del rows, lists, ids, tfs, counted, df
+    gc.collect()
+    pa.default_memory_pool().release_unused()
     model.__dict__.pop("frequent", None)  # each worker makes its own
     kind = dict(docs.dtypes)["doc_id"]
 

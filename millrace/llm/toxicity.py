@@ -38,6 +38,7 @@ clash. Texts are always read whole, of any length.
 from __future__ import annotations
 
 import gc
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -66,7 +67,7 @@ EDGES = "0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’…–
 
 def terms(token: str) -> tuple[str, ...]:
     """Terms of one token: the word, and beginnings of it marked by ^."""
-    word = token.strip(EDGES)
+    word = token if token.isalpha() else token.strip(EDGES)
     return (word, *(f"^{word[:k]}" for k in PREFIXES if len(word) > k)) if word else ()
 
 
@@ -110,32 +111,42 @@ def vocabulary(texts: DataFrame) -> tuple[pa.Array, np.ndarray]:
     return found.column("term").combine_chunks(), np.log2(2 + a / np.maximum(1, b))
 
 
+class Tokens(dict):
+    """Number of each token met lately; places has its terms' places in the vocabulary, -1 for none."""
+
+    MOST, WIDTH = 1 << 17, 1 + len(PREFIXES)
+
+    def __init__(self, place: dict[str, int]):
+        self.place = place
+        self.places = array("i")
+
+    def __missing__(self, token: str) -> int:
+        k = self[token] = len(self)
+        known = [self.place.get(t, -1) for t in terms(token)]
+        self.places.extend(known + [-1] * (self.WIDTH - len(known)))
+        return k
+
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The vocabulary's terms in a text, in order, and how often they occur."""
+        found = text.lower().split()
+        if len(self) >= self.MOST:
+            self.clear()
+            self.places = array("i")
+        numbers = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+        ids = np.frombuffer(self.places, np.int32).reshape(-1, self.WIDTH)[numbers].ravel()
+        return np.unique(ids[ids >= 0], return_counts=True)
+
+
 def vectors(docs: DataFrame, words: pa.Array) -> DataFrame:
     """doc_id, ids (in order) and tfs: the vocabulary's terms in each text and how often they occur."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {w.as_py(): i for i, w in enumerate(words)}
-        of: dict[str, tuple[int, ...]] = {}  # token -> its terms' places
+        tokens = Tokens({w: i for i, w in enumerate(words.to_pylist())})
         for batch in slices(source):
-            found: list[dict[int, int]] = []
-            for text in batch.column("text").to_pylist():
-                tf: dict[int, int] = {}
-                for token, n in Counter((text or "").lower().split()).items():
-                    ids = of.get(token)
-                    if ids is None:
-                        if len(of) >= 1 << 17:
-                            of.clear()
-                        ids = of[token] = tuple(place[t] for t in terms(token) if t in place)
-                    for i in ids:
-                        tf[i] = tf.get(i, 0) + n
-                found.append(tf)
-            ids = [sorted(x) for x in found]
+            ids, tfs = zip(*[tokens.counts(text or "") for text in batch.column("text").to_pylist()])
+            ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(ids, pa.list_(pa.int32())),
-                    pa.array([[x[i] for i in some] for x, some in zip(found, ids)], pa.list_(pa.int32())),
-                ],
+                [batch.column("doc_id"), *[pa.ListArray.from_arrays(ends, np.concatenate(x).astype(np.int32)) for x in (ids, tfs)]],
                 ["doc_id", "ids", "tfs"],
             )
 
@@ -215,12 +226,14 @@ class BlockMax:
         often = column[term] >= 0
         wide = np.zeros((q, dense.shape[1]))
         wide[row[often], column[term[often]]] = value[often]
-        row, term, value = row[~often], term[~often], value[~often]
-        lengths = self.at[term + 1] - self.at[term]
-        each = np.repeat(self.at[term] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-        total = np.bincount(
-            np.repeat(row, lengths) * n + self.posted[each], np.repeat(value, lengths) * self.weights[each], minlength=q * n
-        ).astype(float).reshape(q, n)
+        total = np.zeros((q, n))
+        for sums, (ids, values) in zip(total, made):  # one at a time, so that what is added up stays small
+            short = column[ids] < 0
+            lists = [slice(a, b) for a, b in zip(self.at[ids[short]].tolist(), self.at[ids[short] + 1].tolist())]
+            if lists:
+                added = np.concatenate([self.weights[s] for s in lists])
+                added *= np.repeat(values[short], [s.stop - s.start for s in lists])
+                sums += np.bincount(np.concatenate([self.posted[s] for s in lists]), added, minlength=n)
         bound = np.maximum.reduceat(total, starts, axis=1) + wide @ tops.T
         left = np.zeros((q, n), bool)  # whose similarity is known
         if but is not None:
@@ -236,8 +249,10 @@ class BlockMax:
         first = np.zeros(bound.shape, bool)
         np.put_along_axis(first, np.argpartition(-bound, some - 1, axis=1)[:, :some], True, axis=1)
         take(first)
-        found = np.where(left, total, -np.inf)
-        least = np.partition(found, n - k, axis=1)[:, n - k] if n > k else np.full(q, -np.inf)
+        least = np.full(q, -np.inf)
+        for i, (known, sums) in enumerate(zip(left, total)):
+            if len(found := sums[known]) >= k:
+                least[i] = np.partition(found, -k)[-k]
         take(~first & (bound + 1e-9 >= least[:, None]))
         out = []
         for known, sums in zip(left, total):

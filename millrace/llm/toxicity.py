@@ -59,7 +59,7 @@ BLOCK = 32
 #: Postings lists that are bounded by block.
 FREQUENT = 512
 #: Queries that go through the index at a time.
-BATCH = 64
+BATCH = 256
 NEAREST = 31
 #: What a word may carry at either end of its token.
 EDGES = "0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’…–—¡¿·"
@@ -68,7 +68,7 @@ EDGES = "0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’…–
 def terms(token: str) -> tuple[str, ...]:
     """Terms of one token: the word, and beginnings of it marked by ^."""
     word = token if token.isalpha() else token.strip(EDGES)
-    return (word, *(f"^{word[:k]}" for k in PREFIXES if len(word) > k)) if word else ()
+    return (word, *[f"^{word[:k]}" for k in PREFIXES if len(word) > k]) if word else ()
 
 
 def held_out(doc_id: Column) -> Column:
@@ -114,7 +114,7 @@ def vocabulary(texts: DataFrame) -> tuple[pa.Array, np.ndarray]:
 class Tokens(dict):
     """Number of each token met lately; places has its terms' places in the vocabulary, -1 for none."""
 
-    MOST, WIDTH = 1 << 17, 1 + len(PREFIXES)
+    MOST, WIDTH = 1 << 18, 1 + len(PREFIXES)
 
     def __init__(self, place: dict[str, int]):
         self.place = place

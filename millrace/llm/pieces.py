@@ -16,10 +16,10 @@ only if merging their joint text gives just these two pieces back; each node
 then has exactly one admissible way to reach it, and the path is the one that
 merging the whole text gives. Both are the same search with other edge weights.
 
-All that the search keeps is told by the characters since the last commit and,
-for BPE, the piece before them. Such states are remembered with the step that each
-character takes from them: where words begin alike, a step is one look into a
-dictionary. Where two characters meet that no piece has side by side, all paths
+All that the search keeps is told by the characters since the last commit, the
+surviving paths through them and, for BPE where a piece may still begin right there,
+the piece before them. Such states are remembered with the step that each character
+takes from them: where words go on alike, a step is one look into a dictionary. Where two characters meet that no piece has side by side, all paths
 meet. What the search committed between two such places is remembered too, as
 most words recur. Both memories are bounded; what they forget is searched again.
 
@@ -36,7 +36,7 @@ from __future__ import annotations
 import math
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -52,6 +52,8 @@ MARK = "▁"
 STATES = 1 << 18
 #: Stretches between certain meeting places, and characters in them, that it remembers twice.
 STRETCHES, CHARACTERS = 1 << 18, 1 << 22
+#: Characters of a text whose stretches are listed at once.
+PORTION = 1 << 18
 _UNKNOWN_COST = 10.0
 
 
@@ -111,7 +113,7 @@ class Model:
         self.beginnings = {p[:k] for p in self.ids for k in range(1, len(p))}
         self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.joint = lru_cache(1 << 18)(self._joint)
-        self.whole = lru_cache(1 << 16)(self._whole)
+        self.edges = lru_cache(1 << 16)(self._edges)
         self.states, self.made = states, []
         self.forget()
         self.stretch = _stretches(self.ids)
@@ -120,10 +122,13 @@ class Model:
         for state in self.made:
             state.clear()
         self.made, self.known = [], {}
-        self.root = State(self, "", (0,), () if self.merging else (0.0,), (0,), None)
+        self.root = self.state("", (0,), () if self.merging else (0.0,), (0,), None)
 
-    def merged(self, text: str) -> list[str]:
-        """BPE of a short text by its definition: merge the best adjacent pair, leftmost first, while there is one."""
+    def merges(self, text: str) -> Iterator[tuple[float, int, list[str]]]:
+        """BPE of a short text by its definition: merge the best adjacent pair, leftmost first, while there is one.
+
+        Yields each merge's score, the place of the part made, and all parts then.
+        """
         parts = list(text)
         while len(parts) > 1:
             best, at = None, -1
@@ -134,29 +139,64 @@ class Model:
             if best is None:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            yield best, at, parts
+
+    def merged(self, text: str) -> list[str]:
+        parts = list(text)
+        for _, _, parts in self.merges(text):  # noqa: B007
+            pass
         return parts
 
+    def _edges(self, piece: str) -> tuple[bool, list, list] | None:
+        """How merging a piece by itself changes its last part, and its first: scores and the part after each; None if it is not whole.
+
+        The flag tells that no merge has a greater score than one before it.
+        """
+        falling, lowest, last, first, parts = True, math.inf, [], [], list(piece)
+        for score, at, parts in self.merges(piece):
+            falling &= score <= lowest
+            lowest = score
+            if at == len(parts) - 1:
+                last.append((score, parts[-1]))
+            if at == 0:
+                first.append((score, parts[0]))
+        none = (-math.inf, "")
+        return (falling, [*last, none], [*first, none]) if len(parts) == 1 else None
+
     def _joint(self, left: str, right: str) -> bool:
-        """merged(left + right) == [left, right], told as soon as a merge crosses."""
-        if left + right in self.scores and len(left) == len(right) == 1:
+        """merged(left + right) == [left, right].
+
+        Both sides merge as they do alone until a merge crosses, so only the two parts that
+        meet count: where scores fall, the next change of either tells when it is its turn.
+        """
+        a, b = self.edges(left), self.edges(right)
+        if a is None or b is None:
             return False
-        scores, parts, middle = self.scores, [*left, *right], len(left)  # middle: how many parts left has
-        told = [scores.get(x + y, -math.inf) for x, y in zip(parts, parts[1:])]
-        while (best := max(told)) > -math.inf:
-            k = told.index(best)
-            if k == middle - 1:
+        if not (a[0] and b[0]):
+            return self.merged(left + right) == [left, right]
+        get, lasts, firsts = self.scores.get, iter(a[1]), iter(b[2])
+        x, y, (p, last), (q, first) = left[-1], right[0], next(lasts), next(firsts)
+        while True:
+            crossing = get(x + y, -math.inf)
+            if crossing > p and crossing >= q:
                 return False
-            middle -= k < middle
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-            del told[k]
-            if k:
-                told[k - 1] = scores.get(parts[k - 1] + parts[k], -math.inf)
-            if k < len(told):
-                told[k] = scores.get(parts[k] + parts[k + 1], -math.inf)
-        return len(parts) == 2
-
-    def _whole(self, piece: str) -> bool:
-        return self.merged(piece) == [piece]
+            if p < q:
+                y, (q, first) = first, next(firsts)
+            elif p == -math.inf:
+                return True
+            else:
+                x, (p, last) = last, next(lasts)
+
+    def portions(self, text: str, size: int = PORTION) -> Iterator[list[str]]:
+        """The stretches of a text, those of about `size` characters at a time."""
+        at, end = 0, size
+        while end < len(text):
+            *sure, cut = self.stretch.findall(text, at, end)
+            if sure:
+                yield sure
+                at = end - len(cut)
+            end = at + max(size, 2 * len(cut))
+        yield self.stretch.findall(text, at)
 
     def spell(self, pieces: Iterable[str]) -> bytes:
         """The pieces' ids as 32-bit integers."""
@@ -171,17 +211,11 @@ class Model:
                 out.append(self.unknown)
         return out.tobytes()
 
-    def after(self, state: State, node: int, first: str) -> State:
-        """The state whose last commit is at a node of `state` that all its paths cross; first: the piece before it."""
-        text = state.text[node:]
-        if text and first[-1] + text[0] not in self.pairs:
-            first = None  # whatever is before, no piece crosses
-        found = self.known.get((first, text))
+    def state(self, text: str, back: tuple, cost: tuple, alive: tuple, first: str | None) -> State:
+        """The state with these fields, which it has once."""
+        found = self.known.get((first, text, back))
         if found is None:
-            back = tuple([b - node if b > node else 0 for b in state.back[node:]])
-            cost = tuple([c - state.cost[node] for c in state.cost[node:]])
-            found = State(self, text, back, cost, tuple([i - node for i in state.alive]), first)
-            self.known[first, text] = found
+            found = self.known[first, text, back] = State(self, text, back, cost, alive, first)
             self.made.append(found)
         return found
 
@@ -189,9 +223,11 @@ class Model:
 class State(dict):
     """The open end of the trellis; as a dictionary, character -> (ids that it commits or None, the state it leads to).
 
-    text: the characters since the last commit; back: per node where its last piece
-    begins; cost: per node, of unigram models; alive: the surviving nodes, in order;
-    first: the piece before the text, where that matters.
+    The empty string leads to the root, and commits all. text: the characters since the last
+    commit; back: per node on the path of a surviving node where its last piece begins, 0 for
+    other nodes; cost: per node, of unigram models; alive: the surviving nodes, in order; first:
+    the piece before the text, where that matters. What does not matter for later steps is left
+    out of them, so that many beginnings of words lead to one state.
     """
 
     __slots__ = ("model", "text", "back", "cost", "alive", "first")
@@ -199,9 +235,10 @@ class State(dict):
     def __init__(self, model: Model, text: str, back: tuple, cost: tuple, alive: tuple, first: str | None):
         self.model, self.text, self.back, self.cost, self.alive, self.first = model, text, back, cost, alive, first
 
-    def read(self, c: str) -> State:
-        """The state with one more node, nothing committed."""
-        m, text, back, cost, kept = self.model, self.text + c, self.back, self.cost, []
+    def read(self, c: str) -> tuple[bytes | None, State]:
+        """The step of one more node: what all surviving paths then share is committed."""
+        m, text, cost, first, kept = self.model, self.text + c, self.cost, self.first, []
+        back = [*self.back, -1]
         n, best = len(text), math.inf
         start, ids, beginnings = -1, m.ids, m.beginnings
         for at in self.alive:
@@ -214,52 +251,68 @@ class State(dict):
                     if total < best:
                         best, start = total, at
                 elif start < 0:
-                    before = text[back[at] : at] if at else self.first
+                    before = text[back[at] : at] if at else first
                     # A piece that follows another admissibly is whole by itself, too.
-                    if at == n - 1 or (m.whole(piece) if before is None else m.joint(before, piece)):
+                    if at == n - 1 or (m.edges(piece) if before is None else m.joint(before, piece)):
                         start = at
         kept.append(n)
-        return State(m, text, (*back, start), cost if m.merging else (*cost, best), tuple(kept), self.first)
-
-    def pieces(self, node: int) -> list[str]:
-        """The pieces on the path to a node."""
-        out = []
-        while node:
-            out.append(self.text[self.back[node] : node])
-            node = self.back[node]
-        return out[::-1]
+        back[n] = start
+        if not m.merging:
+            cost = (*cost, best)
+        node, done = meeting(back, kept) if kept[0] else 0, None
+        if node:
+            pieces = path(text, back, node)
+            done, first = m.spell(pieces), pieces[-1]
+            if node < n and first[-1] + text[node] not in m.pairs:
+                first = None  # whatever is before, no piece crosses
+        if kept[0] > node:
+            first = None  # no later piece begins right after it
+        told = [0] * (n - node + 1)
+        for at in kept:
+            while at > node and not told[at - node]:
+                told[at - node] = back[at] - node
+                at = back[at]
+        cost = tuple([x - cost[node] for x in cost[node:]]) if node and cost else cost
+        return done, m.state(text[node:], tuple(told), cost, tuple([at - node for at in kept]), first)
 
     def meeting(self) -> int:
         """The latest node that the paths of all surviving nodes cross."""
-        back = self.back
-        met = self.alive[0]
-        for node in self.alive[1:]:
-            while node != met:
-                if node > met:
-                    node = back[node]
-                else:
-                    met = back[met]
-        return met
+        return meeting(self.back, self.alive)
 
     def __missing__(self, c: str) -> tuple[bytes | None, State]:
         m = self.model
         if len(m.made) >= m.states:
             m.forget()
-        if not self.text and self.first and self.first[-1] + c not in m.pairs:
+        if not c:
+            step = m.spell(path(self.text, self.back, len(self.text))), m.root
+        elif not self.text and self.first and self.first[-1] + c not in m.pairs:
             step = m.root[c]
         else:
-            state = self.read(c)
-            node = state.meeting() if state.alive[0] else 0
-            if node:
-                done = state.pieces(node)
-                step = m.spell(done), m.after(state, node, done[-1])
-            else:
-                m.made.append(state)
-                step = None, state
+            step = self.read(c)
         self[c] = step
         return step
 
 
+def path(text: str, back: Sequence[int], node: int) -> list[str]:
+    """The pieces on the path to a node."""
+    out = []
+    while node:
+        out.append(text[back[node] : node])
+        node = back[node]
+    return out[::-1]
+
+
+def meeting(back: Sequence[int], alive: Sequence[int]) -> int:
+    met = alive[0]
+    for node in alive[1:]:
+        while node != met:
+            if node > met:
+                node = back[node]
+            else:
+                met = back[met]
+    return met
+
+
 class Stream:
     """Encodes characters as they come: feed() and finish() yield the ids that are certain by then."""
 
@@ -281,9 +334,8 @@ class Stream:
         return out
 
     def rest(self) -> bytes:
-        state = self.state
-        self.state = state.model.root
-        return state.model.spell(state.pieces(len(state.text)))
+        ids, self.state = self.state[""]
+        return ids
 
     def feed(self, characters: str) -> list[int]:
         return np.frombuffer(b"".join(self.bytes_of(characters)), np.int32).tolist()
@@ -297,13 +349,12 @@ class Memory(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.older, self.characters = model, {}, 0
+        self.stream, self.older, self.characters = Stream(model), {}, 0
 
     def __missing__(self, stretch: str) -> bytes:
         ids = self.older.get(stretch)
         if ids is None:
-            stream = Stream(self.model)
-            ids = b"".join(stream.bytes_of(stretch)) + stream.rest()
+            ids = b"".join(self.stream.bytes_of(stretch)) + self.stream.rest()
         if len(self) >= STRETCHES or self.characters >= CHARACTERS:
             self.older, self.characters = dict(self), 0
             self.clear()
@@ -322,8 +373,8 @@ def _encoded(text: str | None, path: str) -> np.ndarray:
     if not text:
         return np.zeros(0, np.int32)
     model, memory = _loaded(path)
-    stretches = model.stretch.finditer(model.prefix + text.replace(MARK, " "))
-    return np.frombuffer(b"".join([memory[x[0]] for x in stretches]), np.int32)
+    portions = model.portions(model.prefix + text.replace(MARK, " "))
+    return np.frombuffer(b"".join([b"".join(map(memory.__getitem__, x)) for x in portions]), np.int32)
 
 
 def encode(text: str | None, path: str = MODEL) -> list[int]:

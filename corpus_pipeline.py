@@ -50,7 +50,7 @@ def in_order(laid: DataFrame, *columns: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encoded(in_order(docs, "doc_id", "source", "text"), keep=("doc_id", "source"))
+    return pieces.encoded(in_order(docs, "doc_id", "source", "text"), keep=("doc_id", "source"), lasting=False)
 
 
 STAGES = [

@@ -112,7 +112,7 @@ class Model:
         #: Proper beginnings of pieces, and characters that some piece has side by side.
         self.beginnings = {p[:k] for p in self.ids for k in range(1, len(p))}
         self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        self.joint = lru_cache(1 << 18)(self._joint)
+        self.joint = lru_cache(1 << 16)(self._joint)
         self.edges = lru_cache(1 << 16)(self._edges)
         self.states, self.made = states, []
         self.forget()
@@ -121,7 +121,8 @@ class Model:
     def forget(self) -> None:
         for state in self.made:
             state.clear()
-        self.made, self.known = [], {}
+        #: States in order, states by key, and tuples and ids that many states share.
+        self.made, self.known, self.once = [], {}, {}
         self.root = self.state("", (0,), () if self.merging else (0.0,), (0,), None)
 
     def merges(self, text: str) -> Iterator[tuple[float, int, list[str]]]:
@@ -215,6 +216,7 @@ class Model:
         """The state with these fields, which it has once."""
         found = self.known.get((first, text, back))
         if found is None:
+            back, alive = self.once.setdefault(back, back), self.once.setdefault(alive, alive)
             found = self.known[first, text, back] = State(self, text, back, cost, alive, first)
             self.made.append(found)
         return found
@@ -263,6 +265,7 @@ class State(dict):
         if node:
             pieces = path(text, back, node)
             done, first = m.spell(pieces), pieces[-1]
+            done = m.once.setdefault(done, done)
             if node < n and first[-1] + text[node] not in m.pairs:
                 first = None  # whatever is before, no piece crosses
         if kept[0] > node:
@@ -284,7 +287,8 @@ class State(dict):
         if len(m.made) >= m.states:
             m.forget()
         if not c:
-            step = m.spell(path(self.text, self.back, len(self.text))), m.root
+            ids = m.spell(path(self.text, self.back, len(self.text)))
+            step = m.once.setdefault((ids, None), (ids, m.root))
         elif not self.text and self.first and self.first[-1] + c not in m.pairs:
             step = m.root[c]
         else:
@@ -349,7 +353,8 @@ class Memory(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.stream, self.older, self.characters = Stream(model), {}, 0
+        self.stream = Stream(model)
+        self.forget()
 
     def __missing__(self, stretch: str) -> bytes:
         ids = self.older.get(stretch)
@@ -363,12 +368,27 @@ class Memory(dict):
         return ids
 
 
+    def forget(self) -> None:
+        self.clear()
+        self.older, self.characters = {}, 0
+        self.stream = Stream(self.stream.state.model)
+
+
 @lru_cache(4)
 def _loaded(path: str) -> tuple[Model, Memory]:
     model = Model(path)
     return model, Memory(model)
 
 
+def release(path: str = MODEL) -> None:
+    """Forgets all that was remembered, which gives its memory back; the model stays loaded."""
+    model, memory = _loaded(path)
+    model.forget()
+    model.joint.cache_clear()
+    model.edges.cache_clear()
+    memory.forget()
+
+
 def _encoded(text: str | None, path: str) -> np.ndarray:
     if not text:
         return np.zeros(0, np.int32)
@@ -388,8 +408,12 @@ def decode(ids: Iterable[int], path: str = MODEL) -> str:
     return text[1:] if model.prefix and text.startswith(" ") else text
 
 
-def encoded(docs: DataFrame, path: str = MODEL, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns `keep`, and n_ids, ids, round_trip (whether decoding the ids gives the text back)."""
+def encoded(docs: DataFrame, path: str = MODEL, keep: tuple[str, ...] = ("doc_id",), lasting: bool = True) -> DataFrame:
+    """Columns `keep`, and n_ids, ids, round_trip (whether decoding the ids gives the text back).
+
+    lasting: whether a worker remembers stretches and states from one partition to the next. That
+    saves time; if not, other work of the same workers has the memory.
+    """
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(source):
@@ -409,6 +433,8 @@ def encoded(docs: DataFrame, path: str = MODEL, keep: tuple[str, ...] = ("doc_id
                 ],
                 [*keep, "n_ids", "ids", "round_trip"],
             )
+        if not lasting:
+            release(path)
 
     kinds = dict(docs.dtypes)
     told = ", ".join(f"`{c}` {kinds[c]}" for c in keep)

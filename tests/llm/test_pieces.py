@@ -88,6 +88,20 @@ def test_beginnings_of_words_that_go_on_alike_share_a_state(library):
     assert pieces.encode(text) == library.encode(text)
 
 
+def test_a_partition_can_leave_nothing_behind(spark):
+    pieces.release()
+    model, memory = pieces._loaded(pieces.MODEL)
+    text = " ".join(invented(10, 500))
+    ids = pieces.encode(text)
+    assert memory and len(model.made) > 100 and model.joint.cache_info().currsize
+    pieces.release()
+    assert not memory and not memory.older and model.made == [model.root] == [memory.stream.state]
+    assert not model.root and not model.joint.cache_info().currsize and not model.edges.cache_info().currsize
+    assert pieces.encode(text) == ids
+    docs = edge.plain(spark, [(k, text, "en", "s", 1) for k in range(4)]).repartition(2)
+    assert [r["ids"] for r in pieces.encoded(docs, lasting=False).collect()] == [ids] * 4
+
+
 def test_pieces_follow_each_other_as_merging_tells():
     r = random.Random(8)
     seen = set()
